@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id
+from . import ann, bpe, chat, language_id
 from .common import table
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    turns = turns.unionByName(extra).withColumn("content", chat.text_part(F.col("text")))
+    formatted = chat.format_chats(turns)
+    return formatted.withColumn("read", read_back("formatted", "loss_spans")).select(
+        "conv_id", "read.n_turns", "read.turns_sha256", "read.loss_chars", "read.loss_sha256", F.length("formatted").cast("long").alias("formatted_chars")
+    )
+
+
+@F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string")
+def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """What a reader of the formatted string and its mask gets."""
+    rows = []
+    for text, mask in zip(formatted, spans, strict=True):
+        turns = chat.parse(text)
+        loss = "".join(chat.unescape(text[s["start"] : s["start"] + s["length"]]) for s in mask)
+        whole = "".join(f"{role}\n{body}\n" for role, body in turns)
+        rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = language_id.training_part(docs)
@@ -26,6 +57,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_additive_quantisation": op1_additive_quantisation,
+    "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
 }
