@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, language_id
+from . import ann, bpe, chat, fingerprint, language_id
 from .common import table
 
 
@@ -56,11 +56,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_fingerprint": op8_fingerprint,
 }
 
 #: These operators are iterative, learned or made of tokenizer tables, which SQL does not express.
