@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprint, language_id
+from . import ann, bpe, chat, fingerprint, language_id, packing
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -62,6 +66,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_additive_quantisation": op1_additive_quantisation,
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
