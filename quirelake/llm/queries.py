@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprint, language_id, packing
+from . import ann, bpe, chat, fingerprint, jaccard, language_id, packing
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~part).alias("held_out"), "lang_pred", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     vocabulary = bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
@@ -69,6 +73,7 @@ QUERIES = {
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
 }
