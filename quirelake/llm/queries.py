@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprint, jaccard, language_id, packing
+from . import ann, bpe, chat, fingerprint, jaccard, language_id, packing, suffix_dedup
 from .common import table
 
 
@@ -68,6 +68,11 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -76,6 +81,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: These operators are iterative, learned or made of tokenizer tables, which SQL does not express.
