@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprint, jaccard, language_id, packing, secrets, suffix_dedup
+from . import ann, backoff, bpe, chat, fingerprint, jaccard, language_id, packing, secrets, suffix_dedup
 from .common import table
 
 
@@ -45,6 +46,34 @@ def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
+OP4_SQL = """
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents)
+), pairs AS (
+  SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM words
+), one AS (
+  SELECT w, count(*) AS c1 FROM words GROUP BY w
+), two AS (
+  SELECT v, w, count(*) AS c2 FROM pairs WHERE v IS NOT NULL GROUP BY v, w
+), n AS (
+  SELECT count(*) AS n FROM words
+), logs AS (
+  SELECT p.doc_id, CASE WHEN p.v IS NULL THEN ln(a.c1 / n.n) WHEN two.c2 >= 2 THEN ln(two.c2 / b.c1) ELSE ln(a.c1 / n.n) + ln(0.4) END AS s
+  FROM pairs p CROSS JOIN n JOIN one a ON a.w = p.w LEFT JOIN one b ON b.w = p.v LEFT JOIN two ON two.v = p.v AND two.w = p.w
+), sums AS (
+  SELECT doc_id, count(*) AS n_words, sum(s) AS t FROM logs GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.t, 0.0), 3) AS log_score, round(s.t / s.n_words, 4) AS mean_log_score
+FROM documents d LEFT JOIN sums s ON s.doc_id = d.doc_id
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = language_id.training_part(docs)
@@ -83,13 +112,17 @@ QUERIES = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_chat_format": op3_chat_format,
+    "op4_stupid_backoff": op4_stupid_backoff,
     "op5_language_id": op5_language_id,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fingerprint": op8_fingerprint,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
-#: These operators are iterative, learned or made of tokenizer tables, which SQL does not express.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators are iterative, learned or made of tokenizer tables, which SQL does not express.
+ORACLE_SQL: dict[str, str] = {"op4_stupid_backoff": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
