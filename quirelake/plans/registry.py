@@ -1,4 +1,434 @@
-"""All queries of the document-structure operators with their SQL."""
+"""Queries of the document-structure operators over the driver's tables, each with its SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Bindings: a conversation is a document and its turns are pages; ``events`` of a user are
+a number tree; region, nation, customer, orders and lineitem are a graph of objects.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelake.functions import scalars as S
+from quirelake.operators import graph, labels, positional, sets, trees
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return positional.numbered(rows, "conv_id", "turn").withColumn("job", F.col("conv_id") % 16)
+
+
+PAGES = """p AS (SELECT conv_id, turn, role, conv_id % 16 AS job, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page,
+  count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
+
+
+# positions
+
+
+@query(f"""WITH {PAGES}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) AS out_pos FROM p WHERE page % 2 = 1)
+SELECT job, conv_id, turn, role, out_pos, row_number() OVER (PARTITION BY job ORDER BY (out_pos - 1) // 2, conv_id, out_pos) AS collated FROM s""")
+def page_range_collate(spark, sf_dir):
+    chosen = positional.select_pages(pages(spark, sf_dir), "conv_id", "1-z:odd")
+    return positional.collate(chosen, "job", "conv_id", 2).select("job", "conv_id", "turn", "role", "out_pos", "collated")
+
+
+@query(f"""WITH {PAGES} SELECT conv_id, page, CASE WHEN page <= 2 THEN page ELSE 3 END AS out_pos, role FROM p WHERE page <= 2
+UNION ALL SELECT conv_id, page, 3, role FROM p WHERE page = n""")
+def page_range_select(spark, sf_dir):
+    return positional.select_pages(pages(spark, sf_dir), "conv_id", "1-2,z").select("conv_id", "page", "out_pos", "role")
+
+
+@query(f"""WITH {PAGES} SELECT conv_id, page, (page - 1) // 2 AS out_pos, role FROM p WHERE page >= 2 AND (page - 2) % 2 = 1""")
+def page_range_parity(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return positional.select_pages(rows, "conv_id", "2-z:even").select("conv_id", "page", "out_pos", "role")
+
+
+@query(f"""WITH {PAGES} SELECT conv_id, page, n - page + 1 AS out_pos, role FROM p UNION ALL SELECT conv_id, 1, n + k, role FROM p, (SELECT unnest([1, 2]) AS k) WHERE page = 1
+UNION ALL SELECT conv_id, page, n + 3, role FROM p WHERE page = n - 1""")
+def page_range_desc_dup(spark, sf_dir):
+    return positional.select_pages(pages(spark, sf_dir), "conv_id", "z-1,1,1,r2").select("conv_id", "page", "out_pos", "role")
+
+
+@query(f"""WITH {PAGES} SELECT job, conv_id, page, row_number() OVER (PARTITION BY job ORDER BY (page - 1) // 3, conv_id, page) AS collated FROM p""")
+def collate_n(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return positional.collate(rows, "job", "conv_id", 3, "page").select("job", "conv_id", "page", "collated")
+
+
+@query(f"""WITH {PAGES} SELECT job, conv_id, page, row_number() OVER (PARTITION BY job ORDER BY conv_id, page) AS combined FROM p""")
+def combine_concat(spark, sf_dir):
+    return positional.combine(pages(spark, sf_dir), "job", "conv_id", "page").select("job", "conv_id", "page", "combined")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), k AS (SELECT source, n, unnest(range(0, (n - 1) // 7 + 1)) AS chunk FROM c),
+b AS (SELECT *, chunk * 7 + 1 AS first, least(n, chunk * 7 + 7) AS last, length(n::VARCHAR) AS w FROM k)
+SELECT source, chunk, first, last, source || '-' || lpad(first::VARCHAR, w::INT, '0') || '-' || lpad(last::VARCHAR, w::INT, '0') || '.pdf' AS name FROM b""")
+def split_chunks_names(spark, sf_dir):
+    counts = read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return positional.split_chunks(counts, 7, F.col("source")).select("source", "chunk", "first", "last", "name")
+
+
+@query("""WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
+s AS (SELECT *, ceil(n / ceil(n / 20.0))::BIGINT AS size FROM c) SELECT source, doc_id, r // size AS stream, r % size AS index FROM s""")
+def even_split(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return positional.even_split(rows, "source", "doc_id", limit=20).select("source", "doc_id", "stream", "index")
+
+
+@query(f"""WITH {PAGES}, k AS (SELECT conv_id, page, role, CASE WHEN page < 2 THEN 0 ELSE 2 END AS k FROM p WHERE page < 2 OR page >= 4
+UNION ALL SELECT conv_id, i, 'inserted', 1 FROM (SELECT DISTINCT conv_id FROM p), (SELECT unnest([1, 2, 3]) AS i))
+SELECT conv_id, page, role, row_number() OVER (PARTITION BY conv_id ORDER BY k, page) AS out_pos FROM k""")
+def splice_pages(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("conv_id", "page", "role")
+    new = rows.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("page"), F.lit("inserted").alias("role"))
+    return positional.splice(rows, "conv_id", 2, 4, new)
+
+
+@query(f"""WITH {PAGES}, c AS (SELECT conv_id, page, role, least(3, n) AS l, n FROM p), t AS (SELECT conv_id, page FROM p)
+SELECT t.conv_id, t.page, s.page AS from_page, s.role AS from_role FROM t JOIN (SELECT DISTINCT conv_id, l, n FROM c) d USING (conv_id)
+JOIN p s ON s.conv_id = t.conv_id AND s.page = CASE WHEN t.page <= l THEN t.page WHEN d.n > l THEN l + 1 + (t.page - l - 1) % (d.n - l) END""")
+def overlay_pairing_repeat(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return positional.overlay_pairs(rows.select("conv_id", "page"), rows.select("conv_id", "page", "role"), "conv_id", 3).select("conv_id", "page", "from_page", "from_role")
+
+
+# labels
+
+
+def _tree(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    keys = events.where("event_type = 'signup'").select("user_id", "ts", "event_id")
+    return events.where("event_type <> 'signup'").select("event_id", "ts", "user_id"), keys
+
+
+@query("""SELECT p.event_id, p.user_id, k.event_id AS found_event FROM (SELECT * FROM events WHERE event_type <> 'signup') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') k ON p.user_id = k.user_id AND p.ts >= k.ts""")
+def label_at_or_below(spark, sf_dir):
+    probes, keys = _tree(spark, sf_dir)
+    return labels.at_or_below(probes, keys, "user_id", "ts", "event_id").select("event_id", "user_id", F.col("found_value").alias("found_event"))
+
+
+NUMBERS = "n AS (SELECT DISTINCT l_partkey AS v FROM lineitem)"
+
+
+def _numbers(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v")).distinct()
+
+
+@query(f"WITH {NUMBERS} SELECT v, 'p-' || v AS label FROM n")
+def label_render_decimal(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("v", labels.render(F.lit("D"), F.lit("p-"), F.col("v")).alias("label"))
+
+
+@query(f"WITH {NUMBERS} SELECT v, CASE WHEN v < 1 THEN '' ELSE repeat(chr((97 + (v - 1) % 26)::INT), ((v - 1) // 26 + 1)::INT) END AS label FROM n")
+def label_render_alpha(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("v", labels.render(F.lit("a"), F.lit(None).cast("string"), F.col("v")).alias("label"))
+
+
+@query(f"""WITH {NUMBERS} SELECT v, repeat('M', (v // 1000)::INT) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][(v // 100 % 10 + 1)::INT]
+ || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][(v // 10 % 10 + 1)::INT] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][(v % 10 + 1)::INT] AS label FROM n""")
+def label_render_roman(spark, sf_dir):
+    return _numbers(spark, sf_dir).select("v", labels.render(F.lit("R"), F.lit(None).cast("string"), F.col("v")).alias("label"))
+
+
+@query("""WITH r AS (SELECT o_custkey AS doc, o_orderkey AS start_idx, o_orderstatus AS style, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '' END AS prefix, o_orderkey // 50 + o_orderkey AS start FROM orders),
+l AS (SELECT *, lag(start_idx) OVER w AS pi, lag(style) OVER w AS ps, lag(prefix) OVER w AS pp, lag(start) OVER w AS pst FROM r WINDOW w AS (PARTITION BY doc ORDER BY start_idx))
+SELECT doc, start_idx, style, prefix, start FROM l WHERE pi IS NULL OR NOT (ps IS NOT DISTINCT FROM style AND pp IS NOT DISTINCT FROM prefix AND start - pst = start_idx - pi)""")
+def merge_adjacent_ranges(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), k.alias("start_idx"), F.col("o_orderstatus").alias("style"), F.when(k % 3 != 0, "").alias("prefix"), (F.floor(k / 50) + k).alias("start"))
+    return labels.merge_adjacent(rows, "doc")
+
+
+# references
+
+
+@query("""SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c_custkey = o_custkey""")
+def ref_resolve_left(spark, sf_dir):
+    objects = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select("c_custkey", "c_mktsegment")
+    return graph.resolve(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), objects, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 4 <> 0)")
+def ref_dangling_anti(spark, sf_dir):
+    objects = read(spark, sf_dir, "customer").where("c_custkey % 4 <> 0")
+    return graph.dangling(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), objects, "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
+
+
+#: Objects of all tables in one space of numbers: region, nation, customer, orders.
+EDGES = """e AS (SELECT r_regionkey::BIGINT AS src, 1000 + n_nationkey::BIGINT AS dst FROM region JOIN nation ON n_regionkey = r_regionkey
+UNION ALL SELECT 1000 + c_nationkey::BIGINT, 1000000 + c_custkey FROM customer
+UNION ALL SELECT 1000000 + o_custkey, 1000000000 + o_orderkey FROM orders)"""
+
+
+def _edges(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey").cast("long") + 1000).alias("dst"))
+    customer = read(spark, sf_dir, "customer").select((F.col("c_nationkey").cast("long") + 1000).alias("src"), (F.col("c_custkey") + 1000000).alias("dst"))
+    orders = read(spark, sf_dir, "orders").select((F.col("o_custkey") + 1000000).alias("src"), (F.col("o_orderkey") + 1000000000).alias("dst"))
+    return nation.unionAll(customer).unionAll(orders)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT 2::BIGINT AS seed, 2::BIGINT AS node, 0::BIGINT AS depth UNION SELECT seed, dst, depth + 1 FROM c JOIN e ON src = node) SELECT seed, node, depth FROM c""")
+def closure_from_seed(spark, sf_dir):
+    return graph.closure(spark.createDataFrame([(2,)], "seed long"), _edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT r_regionkey::BIGINT AS seed, r_regionkey::BIGINT AS node FROM region UNION SELECT seed, dst FROM c JOIN e ON src = node)
+SELECT seed, count(*) AS n_objects FROM c GROUP BY seed""")
+def closure_multi_seed_users(spark, sf_dir):
+    seeds = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("seed"))
+    return graph.closure(seeds, _edges(spark, sf_dir)).groupBy("seed").agg(F.count(F.lit(1)).alias("n_objects"))
+
+
+@query("""SELECT l_partkey AS node, count(*) AS n_users, min(s) AS first_user, max(s) AS last_user FROM (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) GROUP BY 1""")
+def shared_object_users(spark, sf_dir):
+    reached = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("seed"), F.col("l_partkey").alias("node")).distinct()
+    return graph.users(reached)
+
+
+GC = f"""WITH RECURSIVE {EDGES}, c AS (SELECT unnest([1, 3])::BIGINT AS node UNION SELECT dst FROM c JOIN e ON src = node)"""
+
+
+def _live(spark, sf_dir):
+    return graph.reachable(spark.createDataFrame([(1,), (3,)], "seed long"), _edges(spark, sf_dir))
+
+
+@query(f"{GC} SELECT o_orderkey, o_custkey FROM orders WHERE 1000000000 + o_orderkey IN (SELECT node FROM c)")
+def gc_reachable_semi(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") + 1000000000).alias("node"))
+    return orders.join(_live(spark, sf_dir), "node", "left_semi").drop("node")
+
+
+@query(f"{GC} SELECT o_orderkey, o_custkey FROM orders WHERE 1000000000 + o_orderkey NOT IN (SELECT node FROM c)")
+def gc_garbage_anti(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") + 1000000000).alias("node"))
+    return orders.join(_live(spark, sf_dir), "node", "left_anti").drop("node")
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS new_num FROM documents")
+def renumber_dense(spark, sf_dir):
+    return graph.renumber(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query("""SELECT o_orderkey, o_custkey, f.new_ref FROM orders LEFT JOIN (SELECT c_custkey, c_custkey * 10 AS new_ref FROM customer WHERE c_custkey % 3 > 0) f ON c_custkey = o_custkey""")
+def remap_first_occurrence(spark, sf_dir):
+    places = read(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array(F.lit(1), F.lit(0))).alias("at"))
+    places = places.withColumn("new_ref", F.col("o_custkey") * 10 + F.col("at"))
+    return graph.remap_first(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), places, "o_custkey", "at", "new_ref").select("o_orderkey", "o_custkey", "new_ref")
+
+
+# trees: in each source a document's parent is its place divided by three
+
+TREE = """n AS (SELECT source AS doc, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id, lang, doc_id FROM documents),
+t AS (SELECT doc, id, CASE WHEN id > 1 THEN (id + 1) // 3 END AS parent, id AS ordinal, CASE WHEN id % 4 = 1 THEN lang END AS value, CASE WHEN id % 5 <> 0 THEN 'f' || doc_id END AS name FROM n),
+w AS (SELECT doc, id, parent, 0::BIGINT AS depth, lpad(ordinal::VARCHAR, 9, '0') AS path, value AS inherited, coalesce(name, '') AS full_name FROM t WHERE parent IS NULL
+UNION ALL SELECT t.doc, t.id, t.parent, w.depth + 1, w.path || '.' || lpad(t.ordinal::VARCHAR, 9, '0'), coalesce(t.value, w.inherited),
+CASE WHEN t.name IS NULL THEN w.full_name WHEN w.full_name = '' THEN t.name ELSE w.full_name || '.' || t.name END FROM t JOIN w ON t.doc = w.doc AND t.parent = w.id)"""
+
+
+def _tree_rows(spark, sf_dir):
+    rows = graph.renumber(read(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "doc_id", "lang"), "doc", "doc_id").withColumnRenamed("new_num", "id")
+    return rows.select("doc", "id", F.when(F.col("id") > 1, F.floor((F.col("id") + 1) / 3)).alias("parent"), F.col("id").alias("ordinal"), F.when(F.col("id") % 4 == 1, F.col("lang")).alias("value"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("f"), "doc_id")).alias("name"))
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT doc, id, inherited FROM w")
+def inherited_nearest_ancestor(spark, sf_dir):
+    return trees.walk(_tree_rows(spark, sf_dir), carried="value").select("doc", "id", "inherited")
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT doc, id, depth, row_number() OVER (PARTITION BY doc ORDER BY path) AS preorder FROM w")
+def tree_preorder_path(spark, sf_dir):
+    rows = trees.walk(_tree_rows(spark, sf_dir))
+    return rows.withColumn("preorder", F.expr("row_number() over (partition by doc order by path)").cast("long")).select("doc", "id", "depth", "preorder")
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT doc, id, depth, row_number() OVER (PARTITION BY doc ORDER BY depth, path) AS bfs FROM w")
+def tree_bfs_order(spark, sf_dir):
+    rows = trees.walk(_tree_rows(spark, sf_dir))
+    return rows.withColumn("bfs", F.expr("row_number() over (partition by doc order by depth, path)").cast("long")).select("doc", "id", "depth", "bfs")
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT doc, id, full_name FROM w")
+def full_name_dotjoin(spark, sf_dir):
+    return trees.walk(_tree_rows(spark, sf_dir), named="name").select("doc", "id", "full_name")
+
+
+# sets
+
+
+@query("SELECT c_custkey AS key, c_name AS name, 'customer' AS origin FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier")
+def merge_union_sources(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit("customer").alias("origin"))
+    return a.unionByName(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit("supplier").alias("origin")))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return sets.duplicate_keys(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def collision_candidates(spark, sf_dir):
+    return sets.duplicate_keys(read(spark, sf_dir, "part"), "p_name")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 30), b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 20)
+SELECT *, 'actual' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'expected' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def compare_except_all(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    return sets.compare(rows.where("l_quantity < 30").select("l_orderkey", "l_linenumber"), rows.where("l_quantity > 20").select("l_orderkey", "l_linenumber"))
+
+
+XREF = "SELECT o_custkey AS num, {f}(o_totalprice, o_orderkey) AS value, {g}(o_orderkey) AS section FROM orders GROUP BY o_custkey"
+
+
+def _entries(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("num"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("section"))
+
+
+@query(XREF.format(f="arg_min", g="min"))
+def xref_first_wins(spark, sf_dir):
+    return sets.register(_entries(spark, sf_dir), ["num"], "section")
+
+
+@query(XREF.format(f="arg_max", g="max"))
+def xref_last_wins(spark, sf_dir):
+    return sets.register(_entries(spark, sf_dir), ["num"], "section", first_wins=False)
+
+
+@query("""WITH f AS (SELECT o_custkey AS num, min(o_orderkey) AS freed FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_custkey AS num, o_orderkey AS section FROM orders LEFT JOIN f ON num = o_custkey WHERE o_orderstatus <> 'F' AND (freed IS NULL OR o_orderkey <= freed)""")
+def xref_freed_numbers(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("num"), F.col("o_orderkey").alias("section"), "o_orderstatus")
+    return sets.suppress_freed(rows.where("o_orderstatus <> 'F'").drop("o_orderstatus"), rows.where("o_orderstatus = 'F'"), "num", "section")
+
+
+# selectors, filters and scalars
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_section_props(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) IN (1, 5, 9)")
+def json_selector(spark, sf_dir):
+    return read(spark, sf_dir, "events").where(F.variant_get(F.parse_json("props"), "$.k", "long").isin(1, 5, 9)).select("event_id", "user_id")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey IN (7, 77, 777)")
+def object_by_id(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where(F.col("o_orderkey").isin(7, 77, 777)).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size & 4 = 4 AND p_size & 3 = 0")
+def annotation_flag_filter(spark, sf_dir):
+    return read(spark, sf_dir, "part").where(S.annotation_shown(F.col("p_size"), 4, 3)).select("p_partkey", "p_size")
+
+
+@query("SELECT o_orderkey, (o_orderkey & 4) <> 0 AS can_print, (o_orderkey & 8) <> 0 AS can_modify, (o_orderkey & 16) <> 0 AS can_copy, (o_orderkey & 2048) <> 0 AS can_print_high FROM orders")
+def permission_bits(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", *[S.allowed(F.col("o_orderkey"), n).alias(f"can_{n}") for n in ("print", "modify", "copy", "print_high")])
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size * 17 - 300 AS d FROM part) SELECT p_partkey, ((floor((d + 45) / 90.0) * 90)::BIGINT % 360 + 360) % 360 AS assigned,
+((floor((90 + d + 45) / 90.0) * 90)::BIGINT % 360 + 360) % 360 AS added FROM r""")
+def rotate_compose(spark, sf_dir):
+    d = F.col("p_size") * 17 - 300
+    return read(spark, sf_dir, "part").select("p_partkey", S.compose_rotation(F.lit(90), d, F.lit(False)).alias("assigned"), S.compose_rotation(F.lit(90), d, F.lit(True)).alias("added"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity * -1 AS x1, l_quantity AS y1, l_quantity * 2 AS x2, l_quantity * 3 AS y2 FROM lineitem)
+SELECT l_orderkey, l_linenumber, -y2 + 10 AS llx, x1 + 5 AS lly, -y1 + 10 AS urx, x2 + 5 AS ury FROM c""")
+def rect_transform(spark, sf_dir):
+    q = F.col("l_quantity")
+    quarter = [F.lit(float(v)) for v in (0, 1, -1, 0, 10, 5)]
+    box = S.transform_rectangle(quarter, -q, q, q * 2, q * 3)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for c, n in zip(box, ("llx", "lly", "urx", "ury"), strict=True)])
+
+
+@query("""SELECT p_partkey, p_retailprice AS media, coalesce(CASE WHEN p_size % 2 = 0 THEN p_retailprice / 2 END, p_retailprice) AS crop,
+coalesce(CASE WHEN p_size % 3 = 0 THEN p_retailprice / 4 END, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 2 END, p_retailprice) AS trim_box FROM part""")
+def box_fallback_coalesce(spark, sf_dir):
+    m, size = F.col("p_retailprice"), F.col("p_size")
+    media, crop, trim = S.boxes(m, F.when(size % 2 == 0, m / 2), F.when(size % 3 == 0, m / 4))
+    return read(spark, sf_dir, "part").select("p_partkey", media.alias("media"), crop.alias("crop"), trim.alias("trim_box"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def md5_digest(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def sha256_digest(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT doc_id, '<' || lower(hex(encode(text))) || '>' AS hex_form, base64(encode(text)) AS base64_form, true AS same FROM documents")
+def hex_base64_roundtrip(spark, sf_dir):
+    raw = F.col("text").cast("binary")
+    rows = read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), S.hex_string(raw).alias("hex_form"), F.regexp_replace(F.base64(raw), "\r\n", "").alias("base64_form"))
+    return rows.select("doc_id", "hex_form", "base64_form", ((F.unbase64("base64_form") == F.col("raw")) & (F.unhex(F.expr("substring(hex_form, 2, length(hex_form) - 2)")) == F.col("raw"))).alias("same"))
+
+
+@query("""SELECT conv_id, md5(string_agg(CASE WHEN turn % 2 = 0 THEN text || chr(10) ELSE text END || CASE WHEN turn % 2 = 1 AND turn < m THEN chr(10) ELSE '' END, '' ORDER BY turn)) AS digest
+FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS m FROM conversations WHERE length(text) > 0) GROUP BY conv_id""")
+def concat_streams_newline_rule(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").where("length(text) > 0").withColumn("text", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    streams = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    return streams.select("conv_id", F.md5(S.joined_contents(F.transform("s", lambda x: x["text"]))).alias("digest"))
+
+
+@query("SELECT p_brand, max(p_size % 3 + 1)::BIGINT AS major, arg_max(p_size % 8, (p_size % 3 + 1) * 100 + p_size % 8)::BIGINT AS minor FROM part GROUP BY p_brand")
+def version_max_struct(spark, sf_dir):
+    text = F.concat((F.col("p_size") % 3 + 1).cast("string"), F.lit("."), (F.col("p_size") % 8).cast("string"))
+    best = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max(S.parse_version(text)).alias("v"))
+    return best.select("p_brand", F.col("v.major").cast("long").alias("major"), F.col("v.minor").cast("long").alias("minor"))
+
+
+@query("""SELECT source, count(*) AS n_checked, count(*) FILTER (s = 2) AS errors, count(*) FILTER (s = 1) AS warnings,
+CASE max(s) WHEN 2 THEN 2 WHEN 1 THEN 3 ELSE 0 END::BIGINT AS exit_code
+FROM (SELECT source, CASE WHEN n_chars < 20 THEN 2 WHEN n_chars > 20000 THEN 1 ELSE 0 END AS s FROM documents) GROUP BY source""")
+def diagnostic_severity_fold(spark, sf_dir):
+    severity = F.when(F.col("n_chars") < 20, 2).when(F.col("n_chars") > 20000, 1).otherwise(0)
+    rows = read(spark, sf_dir, "documents").select("source", severity.alias("s"))
+    worst = F.max("s")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(F.col("s") == 2).alias("errors"), F.count_if(F.col("s") == 1).alias("warnings"), F.when(worst == 2, 2).when(worst == 1, 3).otherwise(0).cast("long").alias("exit_code"))
+
+
+@query("SELECT source, min(n_chars) AS least, max(n_chars) - min(n_chars) AS delta, CASE WHEN max(n_chars) = min(n_chars) THEN 0 ELSE length(bin(max(n_chars) - min(n_chars))) END::BIGINT AS bits FROM documents GROUP BY source")
+def page_length_min_delta_bits(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.min("n_chars").alias("least"), (F.max("n_chars") - F.min("n_chars")).alias("delta"))
+    return rows.withColumn("bits", S.bits_needed(F.col("delta")))
+
+
+@query("SELECT event_id, 'D:' || strftime(ts, '%Y%m%d%H%M%S') || 'Z' AS pdf_date, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso FROM events")
+def date_round_trip(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", S.format_date(F.col("ts")).alias("pdf_date"))
+    return rows.withColumn("iso", S.parse_date(F.col("pdf_date")))
+
+
+@query("SELECT c_nationkey::BIGINT AS nation, count(*) AS n_pages FROM customer GROUP BY 1")
+def page_count(spark, sf_dir):
+    return read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n_pages"))
