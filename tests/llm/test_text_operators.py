@@ -1,0 +1,221 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quirelake.llm import backoff, bpe, fingerprint, language_id, packing, secrets
+
+RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+OWN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+VOCABULARY = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+# byte-level BPE
+
+
+def test_perfect_hash_is_minimal():
+    assert sorted(VOCABULARY.hash.slot(k) for k in RANKS) == list(range(len(RANKS)))
+    assert VOCABULARY.rank(b"no such token, surely") is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \t\nab'sé1.🎉"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_bpe_equals_the_library_and_decodes(text):
+    ids = VOCABULARY.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == OWN.encode_ordinary(text)
+    assert VOCABULARY.decode(ids) == text.encode()
+
+
+def test_bpe_of_a_long_token():
+    text = "abcdefgh" * 4000
+    assert np.frombuffer(VOCABULARY.encode(text), "<u4").tolist() == OWN.encode_ordinary(text)
+
+
+def test_bpe_columns(docs, none, texts):
+    rows = {r["doc_id"]: r for r in bpe.round_trip(docs, VOCABULARY).collect()}
+    for i, t in enumerate(texts):
+        ids = OWN.encode_ordinary(t or "")
+        r = rows[i * 3]
+        assert (r["n_tokens"], r["decoded_sha256"]) == (len(ids), hashlib.sha256((t or "").encode()).hexdigest())
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert bpe.round_trip(none, VOCABULARY).count() == 0
+    both = bpe.with_ids(docs, VOCABULARY)
+    assert "ids_2" in both.columns  # the old column stays
+    back = both.select("doc_id", bpe.decoded(F.col("ids_2"), VOCABULARY, docs.sparkSession).alias("b")).collect()
+    assert {r["doc_id"]: bytes(r["b"]).decode() for r in back} == {i * 3: t or "" for i, t in enumerate(texts)}
+
+
+# language identification
+
+
+def test_language_model_equals_plain_bayes(spark):
+    rows = [(i, t, g) for i, (t, g) in enumerate([("the thing and the end", "en"), ("der und die ich", "de"), ("und über für", "de"), ("of and to", "en")] * 3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {g: np.zeros(language_id.DIMS) for g in ("de", "en")}
+    for _, t, g in rows:
+        for b in language_id.buckets(t):
+            counts[g][b] += 1
+    for text in ("the end", "und ich", "thund"):
+        logs = {}
+        for g, c in counts.items():
+            p = (c + 0.5) / (c + 0.5).sum()
+            logs[g] = math.log(0.5) + sum(math.log(p[b]) for b in language_id.buckets(text))
+        top = max(logs, key=logs.get)
+        lang, score = model.predict(text)
+        assert lang == top and score == pytest.approx(1 / sum(math.exp(v - logs[top]) for v in logs.values()))
+
+
+def test_language_edges(docs, none, texts):
+    model = language_id.train(docs)
+    out = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        r = out[i * 3]
+        assert (r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", t or "")) and 0 <= r["score_2"] <= 1 and r["score"] == 0.5
+    empty = language_id.train(none)
+    assert empty.predict("some text") == ("und", 0.0)
+    assert language_id.identify(none, model).count() == 0
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = language_id.training_part(docs)
+    found = language_id.identify(docs.where(~part).select("doc_id", "text", F.col("lang").alias("true")), language_id.train(docs.where(part)))
+    right, n = found.agg(F.avg((F.col("true") == F.col("lang_pred")).cast("double")), F.count("*")).head()
+    assert n > 250 and right > 0.97
+
+
+# stupid backoff
+
+
+def test_backoff_equals_a_plain_count(docs, none, texts):
+    every = [(t or "").lower().split() for t in texts]
+    one = Counter(w for x in every for w in x)
+    two = Counter(p for x in every for p in zip(x, x[1:]))
+    total = sum(one.values())
+    rows = {r["doc_id"]: r for r in backoff.score(docs).collect()}
+    for i, x in enumerate(every):
+        s = 0.0
+        for k, w in enumerate(x):
+            pair = (x[k - 1], w) if k else None
+            s += math.log(two[pair] / one[x[k - 1]] if pair and two[pair] >= 2 else one[w] / total * (0.4 if k else 1))
+        r = rows[i * 3]
+        assert r["n_words"] == len(x) and r["log_score"] == pytest.approx(s)
+        assert (r["mean_log_score"] is None) == (not x)
+    assert backoff.score(none).count() == 0
+
+
+def test_backoff_of_trigrams(spark):
+    rows = [(i, "a b c a b c d") for i in range(2)]
+    r = backoff.score(spark.createDataFrame(rows, "doc_id long, text string"), order=3).first()
+    # a | b after a | c after ab | a after bc (half) | b after ca | c after ab | d after bc (half)
+    assert r["log_score"] == pytest.approx(math.log(4 / 14) + 0 + 0 + math.log(0.5) + 0 + 0 + math.log(0.5))
+
+
+# packing
+
+
+def test_packing_places_each_id_once(docs, none, texts):
+    rows = packing.pack(docs, WORDS).toPandas()
+    model = Tokenizer.from_file(WORDS)
+    for i, t in enumerate(texts):
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        own, at = rows[rows.doc_id == i * 3].sort_values("start"), 0
+        for p in own.itertuples():
+            assert (p.start, p.doc_tokens) == (at, len(ids)) and zlib.crc32(ids[at : at + p.length].tobytes()) == p.ids_crc32
+            at += p.length
+        assert at == len(ids)
+    for _, s in rows.sort_values("offset").groupby("sequence_id"):
+        n = int(s.length.sum())
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and (n == 4096 or n & (n - 1) == 0)
+    assert packing.pack(none, WORDS).count() == 0
+
+
+def test_bm25_scores_equal_a_plain_sum():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 30, rng.integers(3, 40)).astype(np.uint16) for _ in range(20)]
+    df = np.array([sum(t in d for d in docs) for t in range(30)])
+    idf = np.log1p((20 - df + 0.5) / (df + 0.5))
+    mean = np.mean([len(d) for d in docs])
+    got = packing.ShardIndex(docs, idf, mean).scores(4)
+    for j, d in enumerate(docs):
+        tf = Counter(d.tolist())
+        want = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[4].tolist()) if t in tf)
+        assert got[j] == pytest.approx(want)
+
+
+def test_a_seed_is_joined_by_its_neighbour():
+    a, b = np.arange(0, 50, dtype=np.uint16), np.arange(100, 150, dtype=np.uint16)
+    docs = [a, b, b + np.uint16(1), a + np.uint16(1)]
+    first = packing.pack_shard(docs, np.ones(200), 50.0, window=100)[0]
+    assert [p[0] for p in first] == [0, 3]
+
+
+# fingerprints
+
+
+def test_edits_equal_a_plain_version(docs, none, texts):
+    rows = {r["doc_id"]: r for r in fingerprint.compare_edits(docs).collect()}
+
+    def cut(t):
+        return {p for line in t.split("\n") for p in (re.split(r"(?<=[.!?]) ", line) if len(line) > 600 else [line])}
+
+    whole = [t or "" for t in texts][::-1]
+    for k, t in enumerate(whole):
+        after, c = whole[(k + 1) % len(whole)], len(t) // 3
+        edited = t[: len(t) - c] + after[:c]
+        r = rows[(len(whole) - 1 - k) * 3]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for other, near in ((edited, r["near_edited"]), (after, r["near_next"])):
+            assert near == pytest.approx(len(cut(t) & cut(other)) / len(cut(t) | cut(other)))
+    assert rows[0]["fingerprint"] == rows[17 * 3]["fingerprint"] != rows[3]["fingerprint"]
+    assert fingerprint.compare_edits(none).count() == 0
+
+
+def test_next_crosses_ranges_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 3)
+    rows = [(i, f"t{i}") for i in [*range(0, 60, 2), 10, None]]
+    out = fingerprint.with_next(spark.createDataFrame(rows, "k long, text string"), "k", ["text"]).collect()
+    assert len(out) == len(rows)
+    after = {r["k"]: r["next_text"] for r in out if r["k"] not in (10, None)}
+    assert all(after[i] == f"t{i - 2}" for i in range(2, 60, 2) if i != 10) and after[0] == "tNone"
+    assert sorted(r["next_text"] for r in out if r["k"] == 10) == ["t10", "t8"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 30, 200])
+def test_peeling_recovers_the_difference(spark, n):
+    a, b = list(range(100)), list(range(n // 2, 100 + n - n // 2))
+    row = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(fingerprint.differing(F.col("a"), F.col("b")).alias("d"), fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 144), fingerprint.sketch(F.col("b"), 144)), 144).alias("k")).first()
+    assert row["d"] == len(set(a) ^ set(b)) and (n == 200 or sorted(row["k"]) == sorted(set(a) ^ set(b)))
+
+
+# secrets
+
+
+def test_forest_learns_generated_findings():
+    train, held = secrets.generated_findings(1200, 1), secrets.generated_findings(400, 2)
+    prose = secrets.Prose.learn(["the value of the thing and the record is in the table"])
+    forest = secrets.Forest.train(np.array([secrets.features(f, prose) for f, _ in train]), np.array([y for _, y in train], float))
+    got = forest.predict(np.array([secrets.features(f, prose) for f, _ in held])) >= 0.5
+    assert np.mean(got == np.array([y for _, y in held])) > 0.95
+
+
+def test_scan(docs, none, texts):
+    model = secrets.train(docs)
+    rows = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    last = rows[(len(texts) - 1) * 3]
+    assert last["redacted"] == "password=[SECRET] and [SECRET] then" and len(last["secrets"]) == 2
+    for i, t in enumerate(texts[:-1]):
+        assert rows[i * 3]["redacted"] == t and not rows[i * 3]["secrets"]
+    assert secrets.scan(none, secrets.train(none)).count() == 0
