@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, backoff, bpe, chat, fingerprint, jaccard, language_id, packing, secrets, suffix_dedup
@@ -34,16 +34,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string")
-def read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
+def read_back(formatted: str, spans: str) -> Column:
     """What a reader of the formatted string and its mask gets."""
-    rows = []
-    for text, mask in zip(formatted, spans, strict=True):
-        turns = chat.parse(text)
-        loss = "".join(chat.unescape(text[s["start"] : s["start"] + s["length"]]) for s in mask)
-        whole = "".join(f"{role}\n{body}\n" for role, body in turns)
-        rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
-    return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
+
+    @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string")
+    def read(texts: pd.Series, masks: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, mask in zip(texts, masks, strict=True):
+            turns = chat.parse(text)
+            loss = "".join(chat.unescape(text[s["start"] : s["start"] + s["length"]]) for s in mask)
+            whole = "".join(f"{role}\n{body}\n" for role, body in turns)
+            rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
+
+    return read(formatted, spans)
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
