@@ -10,6 +10,8 @@ rounds positions that are already unique leave:
   these, about one position in thirteen, are sorted, with names shortened to a few more
   bits than positions need. A string whose least rank occurs in one document only cannot
   be repeated and leaves; one that a shortened name keeps by chance is settled later.
+* Round 1 also sorts the names of whole texts: a copy of an earlier text is known to go
+  and takes no further part.
 * Round 2: the strings left are sorted by their pair of ranks, in full.
 
 Documents lie in blocks, ordered by id. A block sends each distinct name once, as a
@@ -29,9 +31,12 @@ others; texts of under 50 bytes are kept whole; an empty table gives an empty re
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import empty_text
 
@@ -39,9 +44,10 @@ HALF = 25
 THRESHOLD = 2 * HALF
 SLICE = 1 << 18
 BLOCK_BYTES, MAX_BLOCK_BYTES, MANY_BLOCKS = 4 << 20, 64 << 20, 2000
-RANGE_BYTES = 16 << 20  # bytes of text for each range of names
+RANGE_BYTES = 4 << 20  # bytes of text for each range of names
 QUANTILES = 1000
 SPARE_BITS = 7
+HALVES, TEXTS, WHOLES = 0, 1, 2  # kinds of names
 LAST = np.iinfo(np.int64).max
 
 _table = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
@@ -104,6 +110,21 @@ class Block:
             own = np.repeat(np.arange(doc[0], doc[0] + len(counts)), counts)
             yield a, own, starts + THRESHOLD <= self.ends[own], least, whole
 
+    def text_names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Name of each text; the distinct ones of texts that could go, with the least id that has each."""
+        names = np.array([xxhash.xxh3_64_intdigest(x) for x in self.raw], np.uint64)
+        long = np.flatnonzero(np.diff(self.ends, prepend=0) >= THRESHOLD)
+        distinct, first = np.unique(names[long], return_index=True)
+        return names, distinct, self.ids[long][first]
+
+    def mark_copies(self, earlier: np.ndarray) -> None:
+        """Find the texts that a smaller id has too, by the answers for ``text_names``."""
+        names, distinct, least = self.text_names()
+        self.copy = np.zeros(len(self.raw), bool)
+        if len(distinct):
+            place = np.minimum(np.searchsorted(distinct, names), len(distinct) - 1)
+            self.copy = (distinct[place] == names) & (earlier[place] | (least[place] < self.ids))
+
     def half_names(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted shortened names of the least ranks; whether a name is in more than one document here."""
         names, docs = [], []
@@ -126,7 +147,7 @@ class Block:
         names, _ = self.half_names(shift)
         kept = names[flags]
         for a, own, inside, least, whole in self.slices(True):
-            at = np.flatnonzero(inside)
+            at = np.flatnonzero(inside & ~self.copy[own])
             short = least[at] >> np.uint64(shift)
             if not len(at) or not len(kept):
                 continue
@@ -156,24 +177,26 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-_RUN = "range int, block long, names binary, flags binary"
-_ANSWER = "block long, range int, n long, flags binary"
+_RUN = "kind int, range int, block long, names binary, flags binary"
+_ANSWER = "block long, kind int, range int, n long, flags binary"
 
 
-def _runs(block: int, names: np.ndarray, flags: np.ndarray, bits: int, width: int) -> pa.Table:
+def _runs(kind: int, block: int, names: np.ndarray, flags: np.ndarray, bits: int, width: int) -> pa.Table:
     """One row for each range of names (the ``bits`` first of ``width`` bits) that the block has."""
-    which = (names >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(names), np.int64)
+    which = (names >> np.uint64(width - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(which)) + 1
-    rows = [(int(w[0]), block, _pack(n), np.packbits(f).tobytes()) for w, n, f in zip(np.split(which, cuts), np.split(names, cuts), np.split(flags, cuts), strict=True) if len(n)]
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["range", "block", "names", "flags"])
+    rows = [(kind, int(w[0]), block, _pack(n), np.packbits(f).tobytes()) for w, n, f in zip(np.split(which, cuts), np.split(names, cuts), np.split(flags, cuts), strict=True) if len(n)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "range", "block", "names", "flags"])
 
 
-def _sorted(table: pa.Table, earlier: bool) -> pa.Table:
-    """Sort the names of one range from all blocks; answer each block with a bit a name.
+def _sorted(table: pa.Table) -> pa.Table:
+    """Sort the names of one kind and range from all blocks; answer each block with a bit a name.
 
-    earlier: set where an earlier block has the name; else where any other has it, or its own flag is set.
+    Half names: set where another block has the name, or a block has it in two documents.
+    Others: set where an earlier block has the name.
     """
+    kind = table.column("kind")[0].as_py()
     blocks, number = table.column("block").to_numpy(), table.column("range")[0].as_py()
     order = np.argsort(blocks, kind="stable")
     runs = [_unpack(table.column("names")[int(i)].as_py()) for i in order]
@@ -183,7 +206,7 @@ def _sorted(table: pa.Table, earlier: bool) -> pa.Table:
     names = names[by_name]
     again = np.concatenate([[False], names[1:] == names[:-1]])
     answer = np.empty(len(names), bool)
-    if earlier:
+    if kind != HALVES:
         answer[by_name] = again
     else:
         own = np.concatenate([np.unpackbits(np.frombuffer(table.column("flags")[int(i)].as_py(), np.uint8), count=s).astype(bool) for i, s in zip(order, sizes, strict=True)])
@@ -193,22 +216,20 @@ def _sorted(table: pa.Table, earlier: bool) -> pa.Table:
         many = np.diff(np.append(first, len(names))) > 1
         answer[by_name] = (any_own | many)[group]
     bits = [np.packbits(x).tobytes() for x in np.split(answer, np.cumsum(sizes)[:-1])]
-    return pa.table([pa.array(blocks[order]), pa.array([number] * len(bits), pa.int32()), pa.array(sizes), pa.array(bits, pa.binary())], names=["block", "range", "n", "flags"])
+    return pa.table([pa.array(blocks[order]), pa.array([kind] * len(bits), pa.int32()), pa.array([number] * len(bits), pa.int32()), pa.array(sizes), pa.array(bits, pa.binary())], names=["block", "kind", "range", "n", "flags"])
 
 
-def _flags(answers: pa.Table, expected: int) -> np.ndarray:
-    """A block's answers in order of its names."""
-    rows = sorted(zip(answers.column("range").to_pylist(), answers.column("n").to_pylist(), answers.column("flags").to_pylist(), strict=True))
+def _flags(answers: pa.Table, kind: int) -> np.ndarray:
+    """A block's answers for one kind, in order of its names."""
+    columns = [answers.column(c).to_pylist() for c in ("kind", "range", "n", "flags")]
+    rows = sorted(r[1:] for r in zip(*columns, strict=True) if r[0] == kind)
     parts = [np.unpackbits(np.frombuffer(f, np.uint8), count=n) for _, n, f in rows]
-    out = np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
-    if len(out) != expected:
-        raise RuntimeError(f"{len(out)} answers for {expected} names")
-    return out
+    return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
 
 
-def in_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) shuffled by block, block numbers rising with id; the bytes of all texts."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), empty_text(F.col(text)).cast("binary").alias("text"))
+def in_blocks(docs: DataFrame, key: str, text: str, carried: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, and a struct of carried columns) shuffled by block, block numbers rising with id; the bytes of all texts."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), empty_text(F.col(text)).cast("binary").alias("text"), F.struct(*carried).alias("carried") if carried else F.lit(0).alias("carried"))
     total, low, high, cuts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES)).head()
     size = max(BLOCK_BYTES, min(MAX_BLOCK_BYTES, total // MANY_BLOCKS))
     blocks = max(1, -(-total // size))
@@ -224,55 +245,73 @@ def in_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
         block = block * fine + F.greatest(F.lit(0), F.least(part, F.lit(fine - 1)))
     block = F.coalesce(F.when(F.col("doc_id").isNotNull(), block), F.lit(len(edges) * fine))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BLOCK_BYTES)))
-    return rows.select(block.cast("long").alias("block"), "doc_id", "text").repartition(parts, "block"), total
+    return rows.select(block.cast("long").alias("block"), "doc_id", "text", *(["carried"] if carried else [])).repartition(parts, "block"), total
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
-    blocks, total = in_blocks(docs, key, text)
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), and a struct ``carried`` of the columns named."""
+    blocks, total = in_blocks(docs, key, text, carried)
     width = min(64, max(1, total).bit_length() + SPARE_BITS)
     shift = 64 - width
     bits = min(width, max(1, -(-total // RANGE_BYTES)).bit_length())
 
-    def send_halves(group, table):
-        names, many = Block(table).half_names(shift)
-        return _runs(group[0].as_py(), names, many, bits, width)
+    def first_round(group, table):
+        block, number = Block(table), group[0].as_py()
+        names, many = block.half_names(shift)
+        texts = block.text_names()[1]
+        return pa.concat_tables([_runs(HALVES, number, names, many, bits, width), _runs(TEXTS, number, texts, np.zeros(len(texts), bool), bits, 64)])
+
+    def strings_left(table, answers):
+        block = Block(table)
+        block.mark_copies(_flags(answers, TEXTS))
+        return block, block.whole_names(shift, _flags(answers, HALVES))
 
-    def send_wholes(group, table, answers):
-        block = Block(table) if table.num_rows else None
-        if block is None:
-            return _runs(0, np.empty(0, np.uint64), np.empty(0, bool), bits, 64)
-        names = sum(answers.column("n").to_pylist())
-        found = block.whole_names(shift, _flags(answers, names))[3]
-        return _runs(group[0].as_py(), found, np.zeros(len(found), bool), bits, 64)
+    def second_round(group, table, answers):
+        if not table.num_rows:
+            return _runs(WHOLES, 0, np.empty(0, np.uint64), np.empty(0, bool), bits, 64)
+        names = strings_left(table, answers)[1][3]
+        return _runs(WHOLES, group[0].as_py(), names, np.zeros(len(names), bool), bits, 64)
 
-    halves = blocks.groupBy("block").applyInArrow(send_halves, _RUN)
-    halves = halves.groupBy("range").applyInArrow(lambda t: _sorted(t, False), _ANSWER)
-    wholes = blocks.groupBy("block").cogroup(halves.groupBy("block")).applyInArrow(send_wholes, _RUN)
-    wholes = wholes.groupBy("range").applyInArrow(lambda t: _sorted(t, True), _ANSWER)
-    answers = halves.withColumn("round", F.lit(1)).unionAll(wholes.withColumn("round", F.lit(2)))
+    first = blocks.groupBy("block").applyInArrow(first_round, _RUN).groupBy("kind", "range").applyInArrow(_sorted, _ANSWER)
+    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(second_round, _RUN).groupBy("kind", "range").applyInArrow(_sorted, _ANSWER)
 
     def remove(group, table, answers):
-        block = Block(table)
-        first, second = (answers.filter(pa.array(answers.column("round").to_numpy() == r)) for r in (1, 2))
-        starts, own, names, distinct, least = block.whole_names(shift, _flags(first, sum(first.column("n").to_pylist())))
-        earlier = _flags(second, len(distinct))
-        matched = np.zeros(len(block.data) + 1, np.int64)
+        block, (starts, own, names, distinct, least) = strings_left(table, answers)
+        earlier = _flags(answers, WHOLES)
+        matched = np.zeros(len(block.data), np.int64)
         if len(starts):
             place = np.searchsorted(distinct, names)
             matched[starts[earlier[place] | (least[place] < block.ids[own])]] = 1
-        sums = np.cumsum(matched[:-1])
+        sums = np.cumsum(matched)
         covered = sums > 0
         covered[THRESHOLD:] = sums[THRESHOLD:] > sums[:-THRESHOLD]
         rows, a = [], 0
         for i, b in enumerate(block.ends.tolist()):
             gone = covered[a:b]
+            if block.copy[i]:
+                gone = np.ones(b - a, bool)
             n = int(gone.sum())
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
             kept = block.raw[i] if not n else block.data[a:b][~gone].tobytes()
             rows.append((None if block.null[block.order[i]] else int(block.ids[i]), b - a, n, spans, kept))
             a = b
         columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        out = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        if carried:
+            out.append(table.column("carried").combine_chunks().take(pa.array(block.order)))
+        return pa.table(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(["carried"] if carried else [])])
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
+    if carried:
+        schema.add(blocks.schema["carried"])
+    return blocks.groupBy("block").cogroup(first.unionAll(second).groupBy("block")).applyInArrow(remove, schema)
+
+
+def as_text(kept: Column) -> Column:
+    """Bytes as text; a character that was cut apart is left out."""
+
+    @F.pandas_udf("string")
+    def read(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else x.decode("utf-8", "ignore") for x in rows], dtype=object)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return read(kept)
