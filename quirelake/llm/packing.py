@@ -28,6 +28,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,9 @@ TOKENS_PER_TASK = 4 << 20
 LOOK_AT = 64  # best neighbours tried for fit before the best is cut
 K1, B = 1.2, 0.75
 REMEMBERED = 300_000
+JOINED = 64
+TEXT_BYTES = 4 << 20  # of texts that are tokenized together
+MARKS = ".,;:!?&#*$%"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _open: dict = {}
@@ -54,40 +58,83 @@ class WordTokenizer:
         self.model = Tokenizer.from_str(content)
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {}
-
-    def _alike(self, word: str) -> str:
-        """A word with the same ids: lower case, where that is certain to be the tokenizer's own."""
-        return word.lower() if max(word) < "ĳ" and "İ" not in word else word
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                self._learn({w for w in words if w not in known})
-                out.append(b"".join([known[w] for w in words]))
-                if len(known) > REMEMBERED:
-                    known.clear()
-        return out
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+
+    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+        """Ids of each text, then ``end``. Strings between blanks, and of these the words without the marks behind them, are looked up once."""
+        split = pc.split_pattern(pa.array([_alike(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        found = split.flatten().dictionary_encode()
+        cores, marks = _parts(found.dictionary)
+        cores = cores.dictionary_encode()
+        pieces = cores.dictionary.to_pylist()
+        shown = {m: len(pieces) + i for i, m in enumerate(dict.fromkeys(marks))}
+        pieces += shown
+        self._learn(set(pieces).difference(self.known))
+        rows = [self.known[p] for p in pieces]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind().itemsize
+        # ids of each distinct string from those of its word and marks, then of each string as it stands
+        ids, sizes = _gathered(np.frombuffer(b"".join(rows), self.kind), sizes, np.stack([cores.indices.to_numpy(), [shown[m] for m in marks]], axis=1).ravel())
+        ids, sizes = _gathered(ids, sizes[::2] + sizes[1::2], found.indices.to_numpy())
+        cuts = np.append(0, np.cumsum(sizes))[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return np.split(np.insert(ids, cuts, end), (cuts + np.arange(1, len(cuts) + 1))[:-1])
 
     def _learn(self, words: set[str]) -> None:
-        known = self.known
-        known.setdefault("", b"")
-        cores = {w: self._parts(w) for w in words if w}
-        missing = list({p for parts in cores.values() for p in parts if p not in known})
-        for p, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, self.kind).tobytes()
-        for w, parts in cores.items():
-            known[w] = b"".join([known[p] for p in parts])
-
-    def _parts(self, word: str) -> tuple[str, ...]:
-        """A stop or comma after a letter is a token of its own; so both can be looked up apart."""
-        word = self._alike(word)
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            return word[:-1], word[-1]
-        return (word,)
+        plain = [w for w in words if w.isalpha()]
+        learned = self._joined(plain) if self.ends.any() else False
+        rest = [w for w in words if not (learned and w.isalpha())]
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _joined(self, words: list[str]) -> bool:
+        """Learn words of letters from encodings of many at once, cut where a word ends; false if that is not certain.
+
+        Each word gives at least one token that ends a word, so as many of them as words means one each.
+        """
+        lines = [" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        found = [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.empty(0, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return False
+        raw, a = ids.tobytes(), 0
+        for w, b in zip(words, (cuts * ids.itemsize).tolist(), strict=True):
+            self.known[w] = raw[a:b]
+            a = b
+        return True
+
+
+def _alike(text: str) -> str:
+    """A text with the same ids: lower case, where that is certain to be the tokenizer's own."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def _parts(strings: pa.Array) -> tuple[pa.Array, list[str]]:
+    """Strings without the marks that follow letters, which are tokens apart, and these marks."""
+    cores = pc.utf8_rtrim(strings, MARKS)
+    n = pc.subtract(pc.binary_length(strings), pc.binary_length(cores)).to_numpy()
+    cut = (n > 0) & pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
+    marks = np.full(len(strings), "", object)
+    last = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[np.frombuffer(strings.buffers()[1], np.int64)[1 : len(strings) + 1] - 1] if cut.any() else n
+    for m in MARKS:
+        marks[cut & (n == 1) & (last == ord(m))] = m
+    more = np.flatnonzero(cut & (n > 1))
+    marks[more] = [s[-k:] for s, k in zip(strings.take(pa.array(more)).to_pylist(), n[more].tolist(), strict=True)]
+    return pc.if_else(pa.array(cut), cores, strings), marks.tolist()
+
+
+def _gathered(table: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``table``, which has one of each size after the other, in the order of ``index``; their sizes."""
+    n = sizes[index]
+    shift = (np.cumsum(sizes) - sizes)[index] - np.cumsum(n) + n
+    return table[np.arange(n.sum()) + np.repeat(shift, n)], n
 
 
 def open_tokenizer(shared) -> WordTokenizer:
@@ -110,17 +157,20 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     def encode(batches):
         model = open_tokenizer(shared)
-        last = np.array([end], kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + last for x in model.encode([t or "" for t in part.column(1).to_pylist()])]
-                routes = []
+            texts = batch.column(1).fill_null("")
+            sums = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(sums)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                ids, routes = model.encode(texts.slice(a, b - a).to_pylist(), end), []
                 for x in ids:
-                    a = np.frombuffer(x, kind).astype(np.uint64)
-                    pairs = (a[:-1] * np.uint64(size) + a[1:] if len(a) > 1 else a) * np.uint64(0x9E3779B97F4A7C15)
+                    x = x.astype(np.uint64)
+                    pairs = (x[:-1] * np.uint64(size) + x[1:] if len(x) > 1 else x) * np.uint64(0x9E3779B97F4A7C15)
                     routes.append(int((pairs ^ (pairs >> np.uint64(31))).min() >> np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // kind().itemsize for x in ids], pa.int64()), pa.array(routes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "route", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array(routes, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "route", "ids"])
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n long, route long, ids binary"), size, kind
@@ -133,9 +183,7 @@ def document_frequencies(rows: DataFrame, size: int, kind: type) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                found = np.zeros(size, bool)
-                found[np.frombuffer(x.as_buffer(), kind)] = True
-                total += found
+                total[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
 
