@@ -34,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that a smaller id has too. A character that is cut apart goes as a whole."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = suffix_dedup.remove_repeats(docs, carried=rest)
-    found = found.select("doc_id", suffix_dedup.as_text(F.col("kept")).alias("text"), "carried.*")
+    found = suffix_dedup.remove_repeats(docs, carried=rest, as_text=True)
+    found = found.select("doc_id", F.col("kept").alias("text"), "carried.*")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

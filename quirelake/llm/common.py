@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def empty_text(column) -> "F.Column":
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def tidy() -> None:
+    """Give what a task no longer uses back to the system: Python workers live on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
+def tidied(work, *args):
+    try:
+        return work(*args)
+    finally:
+        tidy()

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -53,7 +53,7 @@ _steps = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hash of each word of a whole text; those of recent strings between blanks are remembered."""
+    """64-bit hash of each word of a whole text; those of strings between blanks are remembered within a task."""
     out = []
     for piece in text.split():
         found = _known.get(piece)
@@ -126,6 +126,8 @@ def signed(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFram
                     rows.append((xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63, len(found), signature(found).tobytes()) if len(found) else (None, 0, None))
                 k, n, sig = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "k", "n", "sig"])
+        _known.clear()
+        tidy()
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, k long, n long, sig binary")
 
@@ -226,6 +228,7 @@ def _compare(threshold: float, exact: bool):
             at = np.flatnonzero(trees)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(ks[at]), pa.array(ks[forest.label[at]]), pa.array(links[at])], names=["a", "b", "links"])
+        tidy()
 
     return task
 
@@ -283,6 +286,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 same = [len(f) > 0 and xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63 == k for f, k in zip(found, part.column("k").to_pylist(), strict=True)]
                 made = pa.RecordBatch.from_arrays([part.column("k"), part.column("root"), part.column("copies"), pa.array([signature(f).tobytes() if s else b"" for f, s in zip(found, same, strict=True)], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["k", "root", "copies", "sig", "shingles"])
                 yield made.filter(pa.array(same))  # an id that repeats may carry another text
+        _known.clear()
+        tidy()
 
     chosen = chosen.mapInArrow(shingled, "k long, root long, copies long, sig binary, shingles binary")
     chosen = _blocks(chosen, ["copies", "sig", "shingles"])

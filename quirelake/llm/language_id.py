@@ -137,7 +137,8 @@ def language_of(model: LanguageModel, text: Column, spark) -> Column:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang", "score"])
 
-    return predict(text)
+    # else a filter on the struct would be pushed down and work it out a second time
+    return predict.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

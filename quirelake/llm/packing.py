@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, written
+from .common import shuffle_parts, tidy, written
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1 << 20
@@ -50,7 +50,7 @@ _open: dict = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts; the ids of recent words are remembered, up to a bound."""
+    """Ids of whole texts; the ids of recent words are remembered within a task, up to a bound."""
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -170,7 +170,8 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                     pairs = (x[:-1] * np.uint64(size) + x[1:] if len(x) > 1 else x) * np.uint64(0x9E3779B97F4A7C15)
                     routes.append(int((pairs ^ (pairs >> np.uint64(31))).min() >> np.uint64(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array(routes, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "route", "ids"])
-                pa.default_memory_pool().release_unused()
+        model.known.clear()
+        tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n long, route long, ids binary"), size, kind
@@ -180,10 +181,13 @@ def document_frequencies(rows: DataFrame, size: int, kind: type) -> np.ndarray:
     """Number of documents that hold each id, over all documents: one number for each entry of the vocabulary."""
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total, place = np.zeros(size, np.int64), np.zeros(size, np.int32)
         for batch in batches:
             for x in batch.column(0):
-                total[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
+                ids = np.frombuffer(x.as_buffer(), kind)
+                at = np.arange(len(ids), dtype=np.int32)
+                place[ids] = at  # of equal ids the last stays
+                total[ids[place[ids] == at]] += 1
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
 
@@ -329,5 +333,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     held, tokens = [], 0
         if held:
             yield flush(held)
+        held = []
+        tidy()
 
     return rows.mapInArrow(packed, PIECES)

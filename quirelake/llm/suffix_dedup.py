@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import empty_text
+from .common import empty_text, tidied
 
 HALF = 25
 THRESHOLD = 2 * HALF
@@ -248,8 +248,11 @@ def in_blocks(docs: DataFrame, key: str, text: str, carried: list[str] | None =
     return rows.select(block.cast("long").alias("block"), "doc_id", "text", *(["carried"] if carried else [])).repartition(parts, "block"), total
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), and a struct ``carried`` of the columns named."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), and a struct ``carried`` of the columns named.
+
+    With ``as_text``, ``kept`` is a string without the characters that were cut apart.
+    """
     blocks, total = in_blocks(docs, key, text, carried)
     width = min(64, max(1, total).bit_length() + SPARE_BITS)
     shift = 64 - width
@@ -272,17 +275,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
         names = strings_left(table, answers)[1][3]
         return _runs(WHOLES, group[0].as_py(), names, np.zeros(len(names), bool), bits, 64)
 
-    first = blocks.groupBy("block").applyInArrow(first_round, _RUN).groupBy("kind", "range").applyInArrow(_sorted, _ANSWER)
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(second_round, _RUN).groupBy("kind", "range").applyInArrow(_sorted, _ANSWER)
+    def answered(runs):
+        return runs.groupBy("kind", "range").applyInArrow(lambda table: tidied(_sorted, table), _ANSWER)
+
+    first = answered(blocks.groupBy("block").applyInArrow(lambda group, table: tidied(first_round, group, table), _RUN))
+    second = answered(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda group, table, answers: tidied(second_round, group, table, answers), _RUN))
 
     def remove(group, table, answers):
         block, (starts, own, names, distinct, least) = strings_left(table, answers)
         earlier = _flags(answers, WHOLES)
-        matched = np.zeros(len(block.data), np.int64)
+        matched = np.zeros(len(block.data), np.uint8)
         if len(starts):
             place = np.searchsorted(distinct, names)
             matched[starts[earlier[place] | (least[place] < block.ids[own])]] = 1
-        sums = np.cumsum(matched)
+        sums = np.cumsum(matched, dtype=np.int32)
         covered = sums > 0
         covered[THRESHOLD:] = sums[THRESHOLD:] > sums[:-THRESHOLD]
         rows, a = [], 0
@@ -293,18 +299,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
             n = int(gone.sum())
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if n else 0
             kept = block.raw[i] if not n else block.data[a:b][~gone].tobytes()
+            if as_text:
+                kept = kept.decode("utf-8", "ignore")
             rows.append((None if block.null[block.order[i]] else int(block.ids[i]), b - a, n, spans, kept))
             a = b
         columns = list(zip(*rows, strict=True)) or [[]] * 5
-        out = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        out = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]
         if carried:
             out.append(table.column("carried").combine_chunks().take(pa.array(block.order)))
         return pa.table(out, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(["carried"] if carried else [])])
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     if carried:
         schema.add(blocks.schema["carried"])
-    return blocks.groupBy("block").cogroup(first.unionAll(second).groupBy("block")).applyInArrow(remove, schema)
+    return blocks.groupBy("block").cogroup(first.unionAll(second).groupBy("block")).applyInArrow(lambda group, table, answers: tidied(remove, group, table, answers), schema)
 
 
 def as_text(kept: Column) -> Column:
