@@ -20,8 +20,9 @@ emitted, and no hot bucket or group lies in one task.
 
 Defined results: a text without a word is alone in its class and has no links; one of
 fewer than ``WIDTH`` words is a single shingle; null text is empty text; rows that
-repeat are copies of each other; ids may repeat; an empty table gives an empty result;
-extra columns do not matter.
+repeat are copies of each other; ids may repeat, and a row is told apart by its id and
+text; a null id comes after all others, so a class has it only if all its ids are null;
+an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,10 +34,10 @@ import struct
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import fresh, tidy, written
 from .components import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -114,22 +115,27 @@ def pruned(one: np.ndarray, others: np.ndarray, limits: list[tuple[int, int]]) -
     return left
 
 
+def _mark(key: str, text: str) -> Column:
+    """A hash that rows of equal id and text share."""
+    return F.xxhash64(F.col(key).isNull(), F.col(key).cast("long"), F.col(text).cast("string"))
+
+
 def signed(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(doc_id, k, n, sig) of each row: class of equal shingle sets (null without a word), its size and min-hashes."""
+    """(doc_id, mark, k, n, sig) of each row: class of equal shingle sets (null without a word), its size and min-hashes."""
 
     def sign(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
-                for t in part.column(1).to_pylist():
+                for t in part.column(2).to_pylist():
                     found = shingles(t or "", width)
                     rows.append((xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63, len(found), signature(found).tobytes()) if len(found) else (None, 0, None))
                 k, n, sig = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "k", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "mark", "k", "n", "sig"])
         _known.clear()
         tidy()
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, k long, n long, sig binary")
+    return docs.select(F.col(key).cast("long"), _mark(key, text), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, mark long, k long, n long, sig binary")
 
 
 def _blocks(members: DataFrame, payload: list[str]) -> DataFrame:
@@ -236,15 +242,12 @@ def _compare(threshold: float, exact: bool):
 _EDGES = "a long, b long, links long"
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_links.
-
-    ``class_id`` is the least id of the connected class of links, ``n_links`` the number of
-    other rows at a similarity of at least ``threshold``.
-    """
+def _joined(docs: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
+    """(doc_id, mark, first, n_links) of each row; ``first`` is the first row (void, doc_id, mark) of its connected class."""
     rows = written(signed(docs, key, text, width))
-    copies = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    classes = rows.join(copies.select(F.col("k"), F.col("first").alias("doc_id")), ["k", "doc_id"]).select("k", "n", "sig").dropDuplicates(["k"])
+    row = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "mark")
+    copies = rows.where("k is not null").groupBy("k").agg(F.min(row).alias("first"), F.count("*").alias("copies"))
+    classes = rows.join(copies.select("k", F.col("first.mark").alias("mark")), ["k", "mark"]).select("k", "n", "sig").dropDuplicates(["k"])
     classes = written(classes)
 
     bands = F.array(*[F.xxhash64(F.substring("sig", i * ROWS * 4 + 1, ROWS * 4), F.lit(i)) for i in range(BANDS)])
@@ -275,8 +278,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     hot = groups.join(classes.select("k", "sig"), F.col("node") == F.col("k")).select("k", "root", "sig")
     edges = edges.unionAll(_blocks(hot, ["sig"]).mapInArrow(_compare(threshold, exact=False), _EDGES).select("a", "b"))
 
-    groups = components(edges).join(copies, F.col("node") == F.col("k")).select("k", "root", "first", "copies")
-    chosen = docs.select(F.col(key).cast("long").alias("first"), F.col(text).cast("string").alias("text")).join(groups, "first")
+    groups = components(edges).join(copies, F.col("node") == F.col("k")).select("k", "root", F.col("first.mark").alias("mark"), "copies")
+    # a class is one row here, however often its first row repeats
+    chosen = docs.select(_mark(key, text).alias("mark"), F.col(text).cast("string").alias("text")).join(groups, "mark").dropDuplicates(["mark"])
 
     def shingled(batches):
         for batch in batches:
@@ -285,7 +289,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 found = [shingles(t or "", width) for t in part.column("text").to_pylist()]
                 same = [len(f) > 0 and xxhash.xxh3_64_intdigest(f.tobytes()) - 2**63 == k for f, k in zip(found, part.column("k").to_pylist(), strict=True)]
                 made = pa.RecordBatch.from_arrays([part.column("k"), part.column("root"), part.column("copies"), pa.array([signature(f).tobytes() if s else b"" for f, s in zip(found, same, strict=True)], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["k", "root", "copies", "sig", "shingles"])
-                yield made.filter(pa.array(same))  # an id that repeats may carry another text
+                yield made.filter(pa.array(same))  # rows of another text whose mark is the same by chance
         _known.clear()
         tidy()
 
@@ -295,14 +299,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b"))
-    least = roots.join(copies, F.col("node") == F.col("k")).groupBy("root").agg(F.min("first").alias("class_id"))
-    named = roots.join(least, "root").join(links, F.col("node") == F.col("a"), "left").select("node", "class_id", "links")
-    named = copies.join(named, F.col("k") == F.col("node"), "left").select("k", F.coalesce("class_id", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "k").join(named, "k", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = roots.join(copies, F.col("node") == F.col("k")).groupBy("root").agg(F.min("first").alias("least"))
+    named = roots.join(least, "root").join(links, F.col("node") == F.col("a"), "left").select("node", "least", "links")
+    named = copies.join(named, F.col("k") == F.col("node"), "left").select("k", F.coalesce("least", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "mark", "k").join(named, "k", "left").select("doc_id", "mark", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, n_links.
+
+    ``class_id`` is the least id of the connected class of links, ``n_links`` the number of
+    other rows at a similarity of at least ``threshold``.
+    """
+    return _joined(docs, key, text, width, threshold).select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without all but the first document of each class; a null id is kept."""
-    found = join(docs, key, text)
-    gone = found.where(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti")
+    """``docs`` without all but the first row of each class; texts without a word stay."""
+    found = _joined(docs, key, text, WIDTH, THRESHOLD).where("first is not null")
+    # of each row that is not the first, and of the first if it repeats
+    found = found.groupBy("mark").agg(F.first(F.col("mark") != F.col("first.mark")).alias("gone"), F.count("*").alias("times")).where("gone or times > 1")
+    mark, gone, at = fresh(docs, "_mark"), fresh(docs, "_gone"), fresh(docs, "_at")
+    marked = docs.withColumn(mark, _mark(key, text)).join(found.select(F.col("mark").alias(mark), F.col("gone").alias(gone)), mark, "left")
+    left = marked.where(F.col(gone).isNull() | ~F.col(gone))
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    left = left.withColumn(at, F.row_number().over(Window.partitionBy(mark).orderBy(order)))
+    return left.where(F.col(gone).isNull() | (F.col(at) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])

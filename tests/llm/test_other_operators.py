@@ -118,6 +118,19 @@ def test_large_groups_go_by_blocks(spark, monkeypatch):
     assert got == [(i, a, n) for i, (a, n) in enumerate(zip(label, links, strict=True))]
 
 
+def test_repeated_and_null_ids(spark):
+    one = " ".join(f"w{i}" for i in range(120))
+    near, other, void = one.replace("w50 ", "z "), " ".join(f"v{i}" for i in range(60)), " ".join(f"u{i}" for i in range(120))
+    rows = [(1, one), (1, one), (2, near), (2, other), (3, other + " x"), (None, near), (None, void), (None, void.replace("u50 ", "z ")), (7, ""), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    label, links = _plain_join([t for _, t in rows])
+    want = [(i, rows[a][0], n) for (i, _), a, n in zip(rows, label, links, strict=True)]
+    assert Counter(map(tuple, jaccard.join(frame).collect())) == Counter(want)
+    kept = jaccard.keep_one(frame).collect()
+    assert Counter(tuple(r) for r in kept if r[0] is not None) == Counter([(1, one), (2, other), (7, ""), (7, "")])
+    assert len([r for r in kept if r[0] is None]) == 1 and len(kept) == 5
+
+
 def test_pruning_keeps_pairs_over_the_threshold():
     rng = np.random.default_rng(5)
     limits = jaccard.least_matches(0.8)
