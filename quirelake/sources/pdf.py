@@ -104,16 +104,19 @@ class Pdf:
         return near.select("doc", index.cast("int").alias("page_idx"), "num", "media_box", F.coalesce("crop_box", "media_box").alias("crop_box"), F.coalesce("rotate", F.lit(0)).alias("rotate"))
 
     def page_labels(self) -> DataFrame:
-        """Label ranges of flat number trees: doc, start_idx, style, prefix, start."""
+        """Label ranges of all nodes of the number tree: doc, start_idx, style, prefix, start; a node is read once, also in a cycle."""
         catalog = self.trailer_edges.where("via = '/Root'").select("doc", F.col("dst_num").alias("num"))
         own = self.objects.join(catalog, ["doc", "num"]).select("doc", F.col("value"), self.value("$['/PageLabels']", "string").alias("ref"))
-        away = own.where("ref rlike '^[0-9]+ [0-9]+ R$'").select("doc", F.split("ref", " ")[0].cast("long").alias("num")).join(self.objects, ["doc", "num"]).select("doc", F.parse_json("value").alias("tree"))
+        kids = self.edges.where("via rlike '^/Kids/[0-9]+$'").select("doc", F.col("src_num").alias("num"), "dst_num").distinct()
+        direct = self.edges.where("via rlike '^/PageLabels/Kids/[0-9]+$'").withColumnRenamed("src_num", "num").join(catalog, ["doc", "num"]).select("doc", F.col("dst_num").alias("num"))
+        roots = own.where("ref rlike '^[0-9]+ [0-9]+ R$'").select("doc", F.split("ref", " ")[0].cast("long").alias("num"))
+        away = _reached(roots.unionByName(direct), kids).join(self.objects, ["doc", "num"]).select("doc", F.parse_json("value").alias("tree"))
         here = own.where("ref is null or not ref rlike '^[0-9]+ [0-9]+ R$'").select("doc", F.try_variant_get(F.parse_json("value"), "$['/PageLabels']", "variant").alias("tree"))
         nums = away.unionByName(here).select("doc", F.expr("try_variant_get(tree, \"$['/Nums']\", 'array<variant>')").alias("nums")).where("nums is not null")
         pairs = nums.select("doc", F.posexplode("nums").alias("i", "v"), "nums").where("i % 2 = 0")
         label = F.get("nums", F.col("i") + 1)
         get = lambda k, t: F.try_variant_get(label, f"$['/{k}']", t)
-        return pairs.select("doc", F.expr("try_variant_get(v, '$', 'long')").alias("start_idx"), F.substring(get("S", "string"), 2, 10).alias("style"), F.substring(get("P", "string"), 3, 1000).alias("prefix"), F.coalesce(get("St", "long"), F.lit(1).cast("long")).alias("start"))
+        return pairs.select("doc", F.expr("try_variant_get(v, '$', 'long')").alias("start_idx"), F.substr(get("S", "string"), F.lit(2)).alias("style"), F.substr(get("P", "string"), F.lit(3)).alias("prefix"), F.coalesce(get("St", "long"), F.lit(1).cast("long")).alias("start"))
 
     def streams(self) -> DataFrame:
         """Streams with their decoded bytes, warnings and error."""
@@ -123,13 +126,17 @@ class Pdf:
 
     def reachable(self) -> DataFrame:
         """(doc, num) of objects that the trailer reaches, by a frontier that leaves the seen ones."""
-        seen = cut(self.trailer_edges.select("doc", F.col("dst_num").alias("num")).distinct())
-        frontier, edges = seen, self.edges.select("doc", F.col("src_num").alias("num"), "dst_num").distinct()
-        while True:
-            found = cut(frontier.join(edges, ["doc", "num"]).select("doc", F.col("dst_num").alias("num")).distinct().join(seen, ["doc", "num"], "left_anti"))
-            if found.isEmpty():
-                return seen
-            seen, frontier = cut(seen.unionAll(found)), found
+        return _reached(self.trailer_edges.select("doc", F.col("dst_num").alias("num")), self.edges.select("doc", F.col("src_num").alias("num"), "dst_num").distinct())
+
+
+def _reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc, num) of ``start`` and of all that edges (doc, num, dst_num) lead to from there."""
+    frontier = seen = cut(start.distinct())
+    while True:
+        found = cut(frontier.join(edges, ["doc", "num"]).select("doc", F.col("dst_num").alias("num")).distinct().join(seen, ["doc", "num"], "left_anti"))
+        if found.isEmpty():
+            return seen
+        seen, frontier = cut(seen.unionAll(found)), found
 
 
 def read_pdf(spark: SparkSession, path: str, repair: bool = True, max_bytes: int = MAX_BYTES) -> Pdf:

@@ -72,6 +72,22 @@ def test_labels_streams_reach_and_diagnostics(pdf):
     assert not named(found, "good.pdf") and named(found, "moved.pdf") and named(found, "bad.pdf")
 
 
+def test_labels_of_deep_number_trees(spark, tmp_path):
+    nodes = {
+        2: b"<< /Type /Pages /Kids [] /Count 0 >>",
+        3: b"<< /Kids [4 0 R 5 0 R] >>",
+        4: b"<< /Limits [0 2] /Kids [6 0 R] >>",
+        5: b"<< /Limits [7 7] /Nums [7 << /S /D /P (" + b"p" * 1500 + b") >>] /Kids [3 0 R] >>",
+        6: b"<< /Limits [0 2] /Nums [0 << /S /r >> 2 << /S /A /St 4 >>] >>",
+        9: b"<< /Kids [6 0 R] /Nums [40 << /S /D >>] >>",
+    }
+    (tmp_path / "away.pdf").write_bytes(build({1: b"<< /Type /Catalog /Pages 2 0 R /PageLabels 3 0 R >>"} | nodes, b"/Root 1 0 R"))
+    (tmp_path / "here.pdf").write_bytes(build({1: b"<< /Type /Catalog /Pages 2 0 R /PageLabels << /Kids [4 0 R 5 0 R] >> >>"} | nodes, b"/Root 1 0 R"))
+    rows = read_pdf(spark, str(tmp_path)).page_labels().orderBy("start_idx").collect()
+    for name in ("away.pdf", "here.pdf"):
+        assert [tuple(r)[1:] for r in named(rows, name)] == [(0, "r", None, 1), (2, "A", None, 4), (7, "D", "p" * 1500, 1)]
+
+
 def test_values(pdf):
     rows = {r["num"]: json.loads(r["value"]) for r in named(pdf.objects.collect(), "good.pdf")}
     assert rows[6] == {"/Type": "/Page", "/Title": "u:a(b)A!", "/Name": "/A B", "/H": "u:H`"} and rows[3]["/Parent"] == "2 0 R"
