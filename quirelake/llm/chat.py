@@ -18,7 +18,9 @@ own, and ``parse`` restores turns exactly. The loss mask covers the assistant's
 Defined results: null text or content is empty text; a null role is the empty role;
 rows with the same key and turn are all kept, ordered by role and content; a part of
 unknown type or without a reference becomes a ``file`` placeholder with an empty
-reference; a null key is a conversation of its own; extra columns are ignored.
+reference; rows with a null key are one conversation; a very long text is one string,
+and a conversation, which is one output row and so one unsplit key, must fit a task;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import re
 from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE", "[/ROLE]", "<|image:", "<|audio:", "<|document:", "<|file:")
@@ -51,10 +53,14 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Visits the parts of one turn in order; ``pieces``, ``attachments`` and ``tokens`` are what it has gathered."""
+    """Visits the parts of one turn in order; ``body()``, ``attachments`` and ``tokens`` are what it has gathered.
+
+    Texts that follow each other are escaped as one, so no control string arises where they meet.
+    """
 
     def __init__(self):
         self.pieces: list[str] = []
+        self.texts: list[str] = []
         self.attachments: list[tuple] = []
         self.tokens = 0
 
@@ -63,7 +69,7 @@ class PartVisitor:
         getattr(self, f"visit_{kind}", self.visit_file)(part)
 
     def visit_text(self, part) -> None:
-        self.pieces.append(escape(part["text"] or ""))
+        self.texts.append(part["text"] or "")
 
     def visit_image(self, part) -> None:
         self._attach("image", part, math.ceil((part["width"] or 0) / IMAGE_PATCH) * math.ceil((part["height"] or 0) / IMAGE_PATCH))
@@ -77,7 +83,16 @@ class PartVisitor:
     def visit_file(self, part) -> None:
         self._attach("file", part, 0)
 
+    def body(self) -> str:
+        self._flush()
+        return "".join(self.pieces)
+
+    def _flush(self) -> None:
+        self.pieces.append(escape("".join(self.texts)))
+        self.texts = []
+
     def _attach(self, kind: str, part, tokens: int) -> None:
+        self._flush()
         tokens = max(1, tokens)
         self.attachments.append((kind, part["ref"] or "", tokens))
         self.tokens += tokens
@@ -90,7 +105,7 @@ def render(role: str | None, parts) -> tuple[str, int, int, list, int]:
     for part in [] if parts is None else parts:
         if part is not None:
             visitor.visit(part)
-    body, role = "".join(visitor.pieces), role or ""
+    body, role = visitor.body(), role or ""
     if role == "user":
         segment = f"[INST] {body} [/INST]"
     elif role == "system":
@@ -135,13 +150,12 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
 
     rows = turns.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(role).cast("string").alias("role"), F.col(content).cast(f"array<{PART}>").alias("content"))
     rows = rows.select("key", "at", "role", rendered("role", "content").alias("r"))
-    rows = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "role", "r.segment", "r.start", "r.length", "r.attachments", "r.tokens"))).alias("turns"))
-    lengths = F.transform("turns", lambda t: F.length(t["segment"]))
-    rows = rows.withColumn("lengths", lengths)
-    before = F.aggregate("lengths", F.array(F.lit(3)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = rows.withColumn("before", before)
-    spans = F.transform("turns", lambda t, i: F.struct((F.get("before", i) + t["start"]).cast("long").alias("start"), t["length"].alias("length"), t["role"].alias("role")))
-    spans = F.transform(F.filter(spans, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"], s["length"]))
+    rows = rows.select("key", "at", "role", "r.*")
+    # what stands before a turn is summed in the order of the turns, over the rows that the grouping needs together anyway
+    w = Window.partitionBy("key").orderBy("at", "role", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.lit(len("<s>")) + F.coalesce(F.sum(F.length("segment")).over(w), F.lit(0)))
+    rows = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "role", "segment", "before", "start", "length", "attachments", "tokens"))).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct((t["before"] + t["start"]).cast("long").alias("start"), t["length"].alias("length")))
     attachments = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attachments"], lambda a, k: F.struct(i.alias("turn"), (k + 1).alias("number"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     return rows.select(
         F.col("key").alias(key),
