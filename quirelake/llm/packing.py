@@ -23,6 +23,7 @@ task, a shard by its token count.
 
 from __future__ import annotations
 
+import json
 import zlib
 from pathlib import Path
 
@@ -40,87 +41,131 @@ SHARD_TOKENS = 1 << 20
 TOKENS_PER_TASK = 4 << 20
 LOOK_AT = 64  # best neighbours tried for fit before the best is cut
 K1, B = 1.2, 0.75
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 JOINED = 64
-TEXT_BYTES = 4 << 20  # of texts that are tokenized together
+TEXT_BYTES = 6 << 20  # of texts that are tokenized together
 MARKS = ".,;:!?&#*$%"
+#: The steps before the merges of a tokenizer that reads words apart, as its file states them.
+STEPS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _open: dict = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts; the ids of recent words are remembered within a task, up to a bound."""
+    """Ids of whole texts; the ids of recent words are remembered within a task, up to a bound.
+
+    Words are looked up apart only if the tokenizer's own steps are the ones that this is made for
+    (``STEPS``); any other tokenizer encodes texts as they are.
+    """
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(content)
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        parts = json.loads(content)
+        self.by_words = [parts.get("normalizer"), parts.get("pre_tokenizer")] == STEPS
+        self.special = [t["content"].lower() for t in parts.get("added_tokens") or []]
         suffix = getattr(self.model.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         self.ends[[i for t, i in self.model.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered: words, and their ids one after the other with a size each."""
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.sizes = np.empty(0, self.kind), np.empty(0, np.int64)
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, then ``end``. Strings between blanks, and of these the words without the marks behind them, are looked up once."""
-        split = pc.split_pattern(pa.array([_alike(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        if not texts or not self.by_words:
+            return [np.array([*e.ids, end], self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        split = pc.split_pattern(pa.array([self._alike(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
         found = split.flatten().dictionary_encode()
         cores, marks = _parts(found.dictionary)
         cores = cores.dictionary_encode()
-        pieces = cores.dictionary.to_pylist()
-        shown = {m: len(pieces) + i for i, m in enumerate(dict.fromkeys(marks))}
-        pieces += shown
-        self._learn(set(pieces).difference(self.known))
-        rows = [self.known[p] for p in pieces]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind().itemsize
+        place, ids, sizes = self._looked_up(cores.dictionary)
+        shown = {m: i for i, m in enumerate(dict.fromkeys(marks), len(sizes))}
+        more, n = self._learned(list(shown))
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, n])
         # ids of each distinct string from those of its word and marks, then of each string as it stands
-        ids, sizes = _gathered(np.frombuffer(b"".join(rows), self.kind), sizes, np.stack([cores.indices.to_numpy(), [shown[m] for m in marks]], axis=1).ravel())
+        ids, sizes = _gathered(ids, sizes, np.stack([place[cores.indices.to_numpy()], [shown[m] for m in marks]], axis=1).ravel())
         ids, sizes = _gathered(ids, sizes[::2] + sizes[1::2], found.indices.to_numpy())
         cuts = np.append(0, np.cumsum(sizes))[np.cumsum(pc.list_value_length(split).to_numpy())]
         return np.split(np.insert(ids, cuts, end), (cuts + np.arange(1, len(cuts) + 1))[:-1])
 
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        learned = self._joined(plain) if self.ends.any() else False
-        rest = [w for w in words if not (learned and w.isalpha())]
-        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-
-    def _joined(self, words: list[str]) -> bool:
-        """Learn words of letters from encodings of many at once, cut where a word ends; false if that is not certain.
+    def _alike(self, text: str) -> str:
+        """A text with the same ids: lower case, where that is certain to be the tokenizer's own."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(t in low for t in self.special) else low
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each of ``words``, which are distinct, in a table of ids: the table and its sizes."""
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(known))
+        ids, sizes = self._learned(new.to_pylist())
+        ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        place = known.fill_null(0).to_numpy().astype(np.int64)
+        place[pc.is_null(known).to_numpy(zero_copy_only=False)] = np.arange(len(self.words), len(sizes))
+        if len(sizes) <= REMEMBERED:
+            self.words, self.ids, self.sizes = pa.concat_arrays([self.words, new]), ids, sizes
+        else:  # these words only
+            self.words = words
+            self.ids, self.sizes = _gathered(ids, sizes, place)
+        return place, ids, sizes
+
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and how many each has."""
+        sizes, rows = np.zeros(len(words), np.int64), [np.empty(0, self.kind)] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        found = self._joined([words[i] for i in plain]) if self.ends.any() else None
+        if found is not None and len(plain) == len(words):
+            return found
+        if found is not None:
+            for i, x in zip(plain, np.split(found[0], np.cumsum(found[1])[:-1]), strict=True):
+                rows[i] = x
+        done = set(plain) if found is not None else set()
+        rest = [i for i in range(len(words)) if i not in done]
+        for i, e in zip(rest, self.model.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            rows[i] = np.array(e.ids, self.kind)
+        sizes[:] = [len(x) for x in rows]
+        return np.concatenate(rows) if rows else np.empty(0, self.kind), sizes
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for words of letters, from encodings of many at once, cut where a word ends; None if that is not certain.
 
         Each word gives at least one token that ends a word, so as many of them as words means one each.
         """
+        if not words:
+            return None
         lines = [" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
-        found = [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
-        ids = np.concatenate(found) if found else np.empty(0, self.kind)
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)])
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            return False
-        raw, a = ids.tobytes(), 0
-        for w, b in zip(words, (cuts * ids.itemsize).tolist(), strict=True):
-            self.known[w] = raw[a:b]
-            a = b
-        return True
-
-
-def _alike(text: str) -> str:
-    """A text with the same ids: lower case, where that is certain to be the tokenizer's own."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else None
 
 
 def _parts(strings: pa.Array) -> tuple[pa.Array, list[str]]:
-    """Strings without the marks that follow letters, which are tokens apart, and these marks."""
+    """Strings without the marks that follow letters, which are tokens apart, and these marks.
+
+    The tokenizer's lower case of a dotted capital I ends in a combining mark, to which a mark behind it is joined: not cut.
+    """
     cores = pc.utf8_rtrim(strings, MARKS)
     n = pc.subtract(pc.binary_length(strings), pc.binary_length(cores)).to_numpy()
-    cut = (n > 0) & pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False)
+    cut = (n > 0) & pc.utf8_is_alpha(cores).to_numpy(zero_copy_only=False) & ~pc.match_substring(cores, "\u0130").to_numpy(zero_copy_only=False)
     marks = np.full(len(strings), "", object)
     last = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[np.frombuffer(strings.buffers()[1], np.int64)[1 : len(strings) + 1] - 1] if cut.any() else n
     for m in MARKS:
@@ -170,7 +215,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                     pairs = (x[:-1] * np.uint64(size) + x[1:] if len(x) > 1 else x) * np.uint64(0x9E3779B97F4A7C15)
                     routes.append(int((pairs ^ (pairs >> np.uint64(31))).min() >> np.uint64(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array(routes, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "route", "ids"])
-        model.known.clear()
+        model.forget()
         tidy()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
