@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffix_dedup import RANGE_BYTES, _pack, _unpack, in_blocks
+from .suffix_dedup import _pack, _unpack, in_blocks, parts_for, range_bits
 
 ORDER, FACTOR, MIN_COUNT = 2, 0.4, 2
 REMEMBERED = 250_000
@@ -108,10 +108,10 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, log_score (sum), mean_log_score."""
-    blocks, total = in_blocks(docs, key, text)
-    bits = max(1, -(-total // RANGE_BYTES)).bit_length()
+    blocks, total, size = in_blocks(docs, key, text)
+    bits = range_bits(total, size)
     runs = blocks.groupBy("block").applyInArrow(lambda g, t: Grams(t, order).runs(g[0].as_py(), bits), "n int, range int, block long, names binary, counts binary")
-    tables = runs.groupBy("n", "range").applyInArrow(_summed, "block long, n int, range int, totals binary")
+    tables = runs.repartition(parts_for(docs, total), "n", "range").groupBy("n", "range").applyInArrow(_summed, "block long, n int, range int, totals binary")
     # the first word of a document is scored against all words: a count of one number for the corpus
     words = docs.select(F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")).cast("long").alias("n")).agg(F.sum("n")).head()[0] or 0
 

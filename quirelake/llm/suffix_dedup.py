@@ -1,39 +1,41 @@
 """Removal of long repeated byte strings across documents, by distributed prefix doubling.
 
-Positions are ranked by the ``HALF`` bytes that begin at them, then by pairs of ranks at
-offset ``HALF``, that is by ``THRESHOLD`` bytes, where the doubling ends. Between the
-rounds positions that are already unique leave:
-
-* A rank is a 64-bit name of the bytes (equal bytes, equal name), so that ranks of
-  different tasks agree before they meet.
-* Round 1: each 50-byte string has a least rank among the 26 half-strings inside it. Only
-  these, about one position in thirteen, are sorted, with names shortened to a few more
-  bits than positions need. A string whose least rank occurs in one document only cannot
-  be repeated and leaves; one that a shortened name keeps by chance is settled later.
-* Round 1 also sorts the names of whole texts: a copy of an earlier text is known to go
-  and takes no further part.
-* Round 2: the strings left are sorted by their pair of ranks, in full.
-
-Documents lie in blocks, ordered by id. A block sends each distinct name once, as a
-sorted, delta-coded run for each range of names; a task that sorts a range answers each
-block with one bit a name (round 1: in another document; round 2: in an earlier
-block). So a passage that a third of all documents share sends one name a block. The
-texts are shuffled once, by block, and that shuffle serves both rounds and the removal.
-
-Two different strings share a 64-bit name with probability 2**-64; for w strings in
-round 2, w * w / 2**65 false matches are expected.
+The 50-byte strings that may repeat are ranked by their first 8 bytes, then by pairs of
+ranks at offsets 8 and 16, that is by 16 and 32 bytes, and last by a pair at offset 18,
+that is by all 50. Strings that a round has shown to be unique leave. Ranks begin with the
+bytes themselves and are dense numbers from then on, so no hash decides what is removed.
+
+Before that, what can't repeat is left out, without loss:
+
+* Each 50-byte string has a least hash among its 26 half-strings of 25 bytes: equal strings
+  have equal ones. Only these names, about one position in thirteen, are exchanged first; a
+  string whose name occurs in one document only can't repeat.
+* A text with the digest (128 bits of SHA-256) of a smaller id's text goes as a whole.
+
+Documents lie in blocks, by a hash of id and text. A block sends each distinct name once, as
+a sorted, delta-coded run for each range of names. Of the strings left it sends the bytes:
+neighbouring strings of one name overlap, so a run of them is one short context, again once
+a block, with the least id that holds it. Equal strings have equal names and meet in one
+range, where they are ranked; each block is answered with a bit a string (another document,
+or a smaller id, has it). So a passage that a third of all documents share is sent once a block.
+The texts are shuffled once, by block, and that shuffle serves both rounds and the removal.
+Spark partitions and exchanges; pairs of ranks are sorted with numpy within a range, because a
+row for each position would take more disk than the input several times over.
 
 Defined results: null text is empty; strings never cross documents and are judged on the
 input; among rows with equal ids none is the smaller; a null id is larger than all
-others; texts of under 50 bytes are kept whole; an empty table gives an empty result.
+others; texts of under 50 bytes are kept whole; rows that repeat are treated each; a very
+long text is one run of bytes in the task of its block; an empty table gives an empty result;
+columns that are not carried do not matter.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,12 +44,15 @@ from .common import empty_text, tidied
 
 HALF = 25
 THRESHOLD = 2 * HALF
+ROUNDS = ((8, 16), (16, 32), (18, THRESHOLD))  # offset of the second rank, bytes that the pair covers
 SLICE = 1 << 18
 BLOCK_BYTES, MAX_BLOCK_BYTES, MANY_BLOCKS = 4 << 20, 64 << 20, 2000
 RANGE_BYTES = 4 << 20  # bytes of text for each range of names
-QUANTILES = 1000
+NAMES_A_RUN = 16  # fewer in a run would be more rows than names are worth
 SPARE_BITS = 7
-HALVES, TEXTS, WHOLES = 0, 1, 2  # kinds of names
+SHARES = 8  # bits of a name by which a range is ranked in parts
+LONGEST_RUN = 1 << 10
+NAMES, TEXTS, STRINGS = 0, 1, 2  # kinds of runs
 LAST = np.iinfo(np.int64).max
 
 _table = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64)
@@ -70,19 +75,26 @@ def _power_tables() -> list[np.ndarray]:
     return _powers
 
 
-def ranks(data: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """For each 50-byte string of ``data``: the least half rank inside it and, if asked for, its own rank."""
+def least_halves(data: np.ndarray) -> np.ndarray:
+    """For each 50-byte string of ``data``: the least hash of the half-strings inside it."""
     power, inverse = _power_tables()
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_table[data] * power[:n], out=sums[1:])
-    half = _mixed((sums[HALF:] - sums[:-HALF]) * inverse[: n - HALF + 1])
-    least = half
+    least = _mixed((sums[HALF:] - sums[:-HALF]) * inverse[: n - HALF + 1])
     for step in (1, 2, 4, 8):  # 2, 4, 8, 16 half-strings
         least = np.minimum(least[:-step], least[step:])
-    least = np.minimum(least[: len(least) - 10], least[10:])  # 26
-    whole = _mixed(half[:-HALF] * np.uint64(0xC2B2AE3D27D4EB4F) + half[HALF:]) if pairs else None
-    return least, whole
+    return np.minimum(least[: len(least) - 10], least[10:])  # 26
+
+
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Names from least hashes, which are mostly small ones: one to one, and spread over all numbers."""
+    return _mixed(least * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _runs_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """value, value + 1 ... for each value, as many as its size."""
+    return np.arange(sizes.sum()) + np.repeat(values - np.cumsum(sizes) + sizes, sizes)
 
 
 class Block:
@@ -90,49 +102,53 @@ class Block:
 
     def __init__(self, table: pa.Table):
         ids = table.column("doc_id").to_pylist()
+        self.null = np.array([x is None for x in ids], bool)
         ids = np.array([LAST if i is None else i for i in ids], np.int64)
-        self.null = np.array([x is None for x in table.column("doc_id").to_pylist()], bool)
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         raw = table.column("text").to_pylist()
         self.raw = [raw[i] for i in self.order]
-        self.data = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.bytes = b"".join(self.raw)
+        self.data = np.frombuffer(self.bytes, np.uint8)
         self.ends = np.cumsum([len(x) for x in self.raw])
 
-    def slices(self, pairs: bool):
-        """(first, document, is inside one document, least rank, rank) of runs of starts."""
+    def slices(self):
+        """(first, document, is inside one document, least half) of runs of starts."""
         for a in range(0, len(self.data) - THRESHOLD + 1, SLICE):
-            least, whole = ranks(self.data[a : a + SLICE + THRESHOLD - 1], pairs)
+            least = least_halves(self.data[a : a + SLICE + THRESHOLD - 1])
             starts = np.arange(a, a + len(least))
             doc = np.searchsorted(self.ends, [a, a + len(least)], side="right")
             ends = self.ends[doc[0] : doc[1] + 1]
             counts = np.diff(np.concatenate([[a], np.minimum(ends, a + len(least))]))
             own = np.repeat(np.arange(doc[0], doc[0] + len(counts)), counts)
-            yield a, own, starts + THRESHOLD <= self.ends[own], least, whole
+            yield a, own, starts + THRESHOLD <= self.ends[own], least
 
     def text_names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Name of each text; the distinct ones of texts that could go, with the least id that has each."""
-        names = np.array([xxhash.xxh3_64_intdigest(x) for x in self.raw], np.uint64)
-        long = np.flatnonzero(np.diff(self.ends, prepend=0) >= THRESHOLD)
-        distinct, first = np.unique(names[long], return_index=True)
-        return names, distinct, self.ids[long][first]
+        """Distinct digests (two numbers) of the texts that could go; the least id that has each; each text's place among them, or -1."""
+        long = [i for i, x in enumerate(self.raw) if len(x) >= THRESHOLD]
+        digests = np.frombuffer(b"".join(hashlib.sha256(self.raw[i]).digest()[:16] for i in long), ">u8").reshape(-1, 2).astype(np.uint64)
+        order = np.lexsort((digests[:, 1], digests[:, 0]))  # stable, so ids rise among equal ones
+        sorted_ = digests[order]
+        new = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]).any(axis=1)]) if len(order) else np.empty(0, bool)
+        place = np.full(len(self.raw), -1)
+        place[np.array(long, np.int64)[order]] = np.cumsum(new) - 1
+        return sorted_[new], self.ids[np.array(long, np.int64)[order[new]]], place
 
     def mark_copies(self, earlier: np.ndarray) -> None:
         """Find the texts that a smaller id has too, by the answers for ``text_names``."""
-        names, distinct, least = self.text_names()
+        _, least, place = self.text_names()
         self.copy = np.zeros(len(self.raw), bool)
-        if len(distinct):
-            place = np.minimum(np.searchsorted(distinct, names), len(distinct) - 1)
-            self.copy = (distinct[place] == names) & (earlier[place] | (least[place] < self.ids))
+        at = np.flatnonzero(place >= 0)
+        self.copy[at] = earlier[place[at]] | (least[place[at]] < self.ids[at])
 
     def half_names(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted shortened names of the least ranks; whether a name is in more than one document here."""
+        """Sorted shortened names; whether a name is in documents of more than one id here."""
         names, docs = [], []
-        for _, own, inside, least, _ in self.slices(False):
-            least, own = least[inside] >> np.uint64(shift), own[inside]
+        for _, own, inside, least in self.slices():
+            least, own = least[inside], own[inside]
             if len(least):
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])])
-                names.append(least[new])
+                names.append(_spread(least[new]) >> np.uint64(shift))
                 docs.append(self.ids[own[new]])
         if not names:
             return np.empty(0, np.uint64), np.empty(0, bool)
@@ -142,30 +158,65 @@ class Block:
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         return names[first], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
 
-    def repeated(self, shift: int, flags: np.ndarray):
-        """(start, document, name) of the strings that round 1 leaves, slice by slice."""
+    def find_contexts(self, shift: int, flags: np.ndarray) -> None:
+        """Runs of neighbouring strings of one name that the first round leaves, and the distinct contexts among them.
+
+        starts, sizes, own: first string, number of strings and document of each run.
+        which: the context of each run. names, least, lengths, first: of each context its name,
+        the least id that has it, its bytes and the run that it was first seen in.
+        """
         names, _ = self.half_names(shift)
-        kept = names[flags]
-        for a, own, inside, least, whole in self.slices(True):
+        kept, parts = names[flags], []
+        for a, own, inside, least in self.slices():
             at = np.flatnonzero(inside & ~self.copy[own])
-            short = least[at] >> np.uint64(shift)
             if not len(at) or not len(kept):
                 continue
-            new = np.concatenate([[True], short[1:] != short[:-1]])
-            values = short[new]
-            place = np.minimum(np.searchsorted(kept, values), len(kept) - 1)
-            at = at[(kept[place] == values)[np.cumsum(new) - 1]]
-            yield a + at, own[at], whole[at]
-
-    def whole_names(self, shift: int, flags: np.ndarray):
-        """Starts, documents and names of those strings; their distinct names with the least id that has each."""
-        parts = list(self.repeated(shift, flags))
+            value, doc = least[at], own[at]
+            new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (at[1:] % LONGEST_RUN == 0)]))
+            name = _spread(value[new])
+            short = name >> np.uint64(shift)
+            hit = np.flatnonzero(kept[np.minimum(np.searchsorted(kept, short), len(kept) - 1)] == short)
+            parts.append((a + at[new[hit]], np.diff(new, append=len(at))[hit], doc[new[hit]], name[hit]))
         if not parts:
             none = np.empty(0, np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint64), none
-        starts, own, names = (np.concatenate(x) for x in zip(*parts, strict=True))
-        distinct, first = np.unique(names, return_index=True)
-        return starts, own, names, distinct, self.ids[own[first]]
+            parts = [(none, none, none, none.astype(np.uint64))]
+        self.starts, self.sizes, self.own, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+        seen: dict[bytes, int] = {}
+        ends = self.starts + self.sizes + THRESHOLD - 1
+        self.which = np.array([seen.setdefault(self.bytes[a:b], len(seen)) for a, b in zip(self.starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(self.which, return_index=True)[1]
+        order = np.argsort(name[first], kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        self.which, self.first = place[self.which], first[order]
+        self.names, self.least = name[self.first], self.ids[self.own[self.first]]
+        self.lengths = self.sizes[self.first] + THRESHOLD - 1
+
+    def context_runs(self, block: int, bits: int) -> pa.Table:
+        """A row for each range of names: contexts one after the other, and their lengths, shares and least ids."""
+        which = (self.names >> np.uint64(64 - bits)).astype(np.int64)
+        share = (self.names >> np.uint64(64 - bits - SHARES) & np.uint64((1 << SHARES) - 1)).astype(np.uint8)
+        starts = self.starts[self.first]
+        cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
+        rows = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                found = self.data[_runs_of(starts[a:b], self.lengths[a:b])]
+                rows.append((STRINGS, int(which[a]), block, found.tobytes(), self.lengths[a:b].astype("<u2").tobytes() + share[a:b].tobytes() + self.least[a:b].astype("<i8").tobytes()))
+        return _run_table(rows)
+
+    def removed(self, earlier: np.ndarray) -> np.ndarray:
+        """Whether each byte is covered by a string that a smaller id has, by the answers for the contexts' strings."""
+        matched = np.zeros(len(self.data), np.uint8)
+        if len(self.starts):
+            windows = self.lengths - THRESHOLD + 1
+            answer = earlier[_runs_of((np.cumsum(windows) - windows)[self.which], self.sizes)]
+            answer |= np.repeat(self.least[self.which] < self.ids[self.own], self.sizes)
+            matched[_runs_of(self.starts, self.sizes)] = answer
+        sums = np.cumsum(matched, dtype=np.int32)
+        covered = sums > 0
+        covered[THRESHOLD:] = sums[THRESHOLD:] > sums[:-THRESHOLD]
+        return covered
 
 
 def _pack(names: np.ndarray) -> bytes:
@@ -181,71 +232,134 @@ _RUN = "kind int, range int, block long, names binary, flags binary"
 _ANSWER = "block long, kind int, range int, n long, flags binary"
 
 
-def _runs(kind: int, block: int, names: np.ndarray, flags: np.ndarray, bits: int, width: int) -> pa.Table:
-    """One row for each range of names (the ``bits`` first of ``width`` bits) that the block has."""
-    which = (names >> np.uint64(width - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(which)) + 1
-    rows = [(kind, int(w[0]), block, _pack(n), np.packbits(f).tobytes()) for w, n, f in zip(np.split(which, cuts), np.split(names, cuts), np.split(flags, cuts), strict=True) if len(n)]
+def _run_table(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[]] * 5
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "range", "block", "names", "flags"])
 
 
+def _runs(kind: int, block: int, names: np.ndarray, flags, shown, bits: int, width: int) -> pa.Table:
+    """One row for each range of names (the ``bits`` first of ``width`` bits) that the block has, with ``shown(flags)``."""
+    which = (names >> np.uint64(width - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(which)) + 1
+    return _run_table([(kind, int(w[0]), block, _pack(n), shown(f)) for w, n, f in zip(np.split(which, cuts), np.split(names, cuts), np.split(flags, cuts), strict=True) if len(n)])
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _answers(table: pa.Table, kind: int, sizes: np.ndarray, answer: np.ndarray) -> pa.Table:
+    found = [_bits(x) for x in np.split(answer, np.cumsum(sizes)[:-1])]
+    return pa.table([table.column("block"), pa.array([kind] * len(found), pa.int32()), table.column("range"), pa.array(sizes), pa.array(found, pa.binary())], names=["block", "kind", "range", "n", "flags"])
+
+
 def _sorted(table: pa.Table) -> pa.Table:
-    """Sort the names of one kind and range from all blocks; answer each block with a bit a name.
+    """Sort what all blocks have sent for one kind and range; answer each block with a bit for each item.
 
-    Half names: set where another block has the name, or a block has it in two documents.
-    Others: set where an earlier block has the name.
+    Names: set where another block has the name, or a block has it in two documents.
+    Digests of texts, and strings: set where a smaller id has the same.
     """
     kind = table.column("kind")[0].as_py()
-    blocks, number = table.column("block").to_numpy(), table.column("range")[0].as_py()
-    order = np.argsort(blocks, kind="stable")
-    runs = [_unpack(table.column("names")[int(i)].as_py()) for i in order]
-    sizes = np.array([len(r) for r in runs])
+    if kind == STRINGS:
+        return _ranked(table)
+    runs = [_unpack(x) for x in table.column("names").to_pylist()]
+    sizes, extra = np.array([len(r) for r in runs]), table.column("flags").to_pylist()
     names = np.concatenate(runs)
-    by_name = np.argsort(names, kind="stable")  # blocks stay in order
-    names = names[by_name]
-    again = np.concatenate([[False], names[1:] == names[:-1]])
     answer = np.empty(len(names), bool)
-    if kind != HALVES:
-        answer[by_name] = again
+    if kind == NAMES:
+        order = np.argsort(names, kind="stable")
+        own = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=s).astype(bool) for f, s in zip(extra, sizes, strict=True)])
+        first = np.flatnonzero(np.diff(names[order].view(np.int64), prepend=~names[order[0]].view(np.int64)))
+        count = np.diff(first, append=len(names))
+        answer[order] = np.repeat(np.logical_or.reduceat(own[order], first) | (count > 1), count)
     else:
-        own = np.concatenate([np.unpackbits(np.frombuffer(table.column("flags")[int(i)].as_py(), np.uint8), count=s).astype(bool) for i, s in zip(order, sizes, strict=True)])
-        group = np.cumsum(~again) - 1
-        first = np.flatnonzero(~again)
-        any_own = np.logical_or.reduceat(own[by_name], first)
-        many = np.diff(np.append(first, len(names))) > 1
-        answer[by_name] = (any_own | many)[group]
-    bits = [np.packbits(x).tobytes() for x in np.split(answer, np.cumsum(sizes)[:-1])]
-    return pa.table([pa.array(blocks[order]), pa.array([kind] * len(bits), pa.int32()), pa.array([number] * len(bits), pa.int32()), pa.array(sizes), pa.array(bits, pa.binary())], names=["block", "kind", "range", "n", "flags"])
+        pairs = [np.frombuffer(f, "<u8").reshape(-1, 2) for f in extra]
+        low, least = np.concatenate([p[:, 0] for p in pairs]), np.concatenate([p[:, 1] for p in pairs]).astype(np.int64)
+        order = np.lexsort((low, names))
+        first = np.flatnonzero(np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (low[order][1:] != low[order][:-1])]))
+        answer[order] = np.repeat(np.minimum.reduceat(least[order], first), np.diff(first, append=len(names))) < least[order]
+    return _answers(table, kind, sizes, answer)
+
+
+def _ranked(table: pa.Table) -> pa.Table:
+    """The answers for the strings of one range, ranked share by share of the names."""
+    texts, about = table.column("names").to_pylist(), table.column("flags").to_pylist()
+    n = [len(f) // 11 for f in about]
+    lengths = np.concatenate([np.frombuffer(f, "<u2", k) for f, k in zip(about, n, strict=True)]).astype(np.int64)
+    shares = np.concatenate([np.frombuffer(f, np.uint8, k, 2 * k) for f, k in zip(about, n, strict=True)])
+    least = np.concatenate([np.frombuffer(f, "<i8", k, 3 * k) for f, k in zip(about, n, strict=True)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    windows = lengths - THRESHOLD + 1
+    begins, answers_at = np.cumsum(lengths) - lengths, np.cumsum(windows) - windows
+    answer = np.zeros(int(windows.sum()), bool)
+    by_share = np.argsort(shares, kind="stable")
+    for own in np.split(by_share, np.flatnonzero(np.diff(shares[by_share])) + 1):
+        if len(own) > 1:
+            answer[_runs_of(answers_at[own], windows[own])] = in_smaller(data[_runs_of(begins[own], lengths[own])], lengths[own], least[own])
+    row = np.repeat(np.arange(len(n)), n)
+    return _answers(table, STRINGS, np.bincount(row, windows, len(n)).astype(np.int64), answer)
+
+
+def in_smaller(data: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each 50-byte string inside the contexts of ``data``, in order: does a context with a smaller id hold it?
+
+    Prefix doubling: positions are ranked by 8 bytes, then by pairs of ranks at growing
+    offsets; a position that is unique has no further part.
+    """
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))
+    at = np.flatnonzero(room >= 8)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)[at]
+    rank, single, order, first = _ranks(np.ascontiguousarray(eight).view("<u8").ravel(), at, len(data))
+    for offset, length in ROUNDS:
+        at = np.flatnonzero(room >= length)
+        at = at[~(single[at] | single[at + offset])]
+        rank, single, order, first = _ranks(rank[at] << np.uint64(32) | rank[at + offset], at, len(data))
+    out = np.zeros(len(data), bool)
+    if len(order):
+        own = np.repeat(least, lengths)[at[order]]
+        out[at[order]] = np.repeat(np.minimum.reduceat(own, first), np.diff(first, append=len(order))) < own
+    return out[room >= THRESHOLD]
+
+
+def _ranks(keys: np.ndarray, at: np.ndarray, n: int):
+    """Dense ranks of keys, put at their positions; whether a position is the only one of its rank; the keys' order and where ranks begin in it."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    count = np.diff(first, append=len(keys))
+    rank, single = np.zeros(n, np.uint64), np.ones(n, bool)
+    rank[at[order]] = np.repeat(np.arange(len(first), dtype=np.uint64), count)
+    single[at[order]] = np.repeat(count == 1, count)
+    return rank, single, order, first
 
 
 def _flags(answers: pa.Table, kind: int) -> np.ndarray:
-    """A block's answers for one kind, in order of its names."""
+    """A block's answers for one kind, in order of its items."""
     columns = [answers.column(c).to_pylist() for c in ("kind", "range", "n", "flags")]
     rows = sorted(r[1:] for r in zip(*columns, strict=True) if r[0] == kind)
     parts = [np.unpackbits(np.frombuffer(f, np.uint8), count=n) for _, n, f in rows]
     return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
 
 
-def in_blocks(docs: DataFrame, key: str, text: str, carried: list[str] | None = None) -> tuple[DataFrame, int]:
-    """(block, doc_id, text, and a struct of carried columns) shuffled by block, block numbers rising with id; the bytes of all texts."""
+def in_blocks(docs: DataFrame, key: str, text: str, carried: list[str] | None = None) -> tuple[DataFrame, int, int]:
+    """(block, doc_id, text, and a struct of carried columns) shuffled by block; the bytes of all texts and of a block.
+
+    Blocks follow a hash of id and text, so neither null nor repeated ids crowd one.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), empty_text(F.col(text)).cast("binary").alias("text"), F.struct(*carried).alias("carried") if carried else F.lit(0).alias("carried"))
-    total, low, high, cuts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES)).head()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     size = max(BLOCK_BYTES, min(MAX_BLOCK_BYTES, total // MANY_BLOCKS))
-    blocks = max(1, -(-total // size))
-    fine = -(-blocks // QUANTILES)
-    ranges = -(-blocks // fine)
-    cuts = sorted({cuts[i * QUANTILES // ranges - 1] for i in range(1, ranges)}) if cuts and ranges > 1 else []
-    edges = [low, *cuts, high] if low is not None else [0, 0]
-    # within a quantile ids are cut evenly, which keeps their order
-    block = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
-    if fine > 1:
-        a, b = (F.get(F.lit(x).cast("array<double>"), block) for x in (edges[:-1], edges[1:]))
-        part = F.floor((F.col("doc_id") - a) / F.greatest(b - a, F.lit(1.0)) * fine)
-        block = block * fine + F.greatest(F.lit(0), F.least(part, F.lit(fine - 1)))
-    block = F.coalesce(F.when(F.col("doc_id").isNotNull(), block), F.lit(len(edges) * fine))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BLOCK_BYTES)))
-    return rows.select(block.cast("long").alias("block"), "doc_id", "text", *(["carried"] if carried else [])).repartition(parts, "block"), total
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // size))))
+    return rows.select(block.alias("block"), "doc_id", "text", *(["carried"] if carried else [])).repartition(parts_for(docs, total), "block"), total, size
+
+
+def parts_for(docs: DataFrame, total: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BLOCK_BYTES)))
+
+
+def range_bits(total: int, size: int) -> int:
+    """Bits of a name that say its range: ranges of ``RANGE_BYTES`` of text, as long as runs keep ``NAMES_A_RUN`` names."""
+    return max(1, min(-(-total // RANGE_BYTES), size // (HALF // 2 * NAMES_A_RUN))).bit_length()
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -253,44 +367,37 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", car
 
     With ``as_text``, ``kept`` is a string without the characters that were cut apart.
     """
-    blocks, total = in_blocks(docs, key, text, carried)
+    blocks, total, size = in_blocks(docs, key, text, carried)
     width = min(64, max(1, total).bit_length() + SPARE_BITS)
     shift = 64 - width
-    bits = min(width, max(1, -(-total // RANGE_BYTES)).bit_length())
+    bits = min(width, range_bits(total, size))
+    parts = parts_for(docs, total)
 
     def first_round(group, table):
         block, number = Block(table), group[0].as_py()
         names, many = block.half_names(shift)
-        texts = block.text_names()[1]
-        return pa.concat_tables([_runs(HALVES, number, names, many, bits, width), _runs(TEXTS, number, texts, np.zeros(len(texts), bool), bits, 64)])
+        digests, least, _ = block.text_names()
+        about = np.stack([digests[:, 1], least.astype(np.uint64)], axis=1)
+        return pa.concat_tables([_runs(NAMES, number, names, many, _bits, bits, width), _runs(TEXTS, number, digests[:, 0], about, lambda x: x.astype("<u8").tobytes(), bits, 64)])
 
     def strings_left(table, answers):
         block = Block(table)
         block.mark_copies(_flags(answers, TEXTS))
-        return block, block.whole_names(shift, _flags(answers, HALVES))
+        block.find_contexts(shift, _flags(answers, NAMES))
+        return block
 
     def second_round(group, table, answers):
-        if not table.num_rows:
-            return _runs(WHOLES, 0, np.empty(0, np.uint64), np.empty(0, bool), bits, 64)
-        names = strings_left(table, answers)[1][3]
-        return _runs(WHOLES, group[0].as_py(), names, np.zeros(len(names), bool), bits, 64)
+        return strings_left(table, answers).context_runs(group[0].as_py(), bits) if table.num_rows else _run_table([])
 
     def answered(runs):
-        return runs.groupBy("kind", "range").applyInArrow(lambda table: tidied(_sorted, table), _ANSWER)
+        return runs.repartition(parts, "kind", "range").groupBy("kind", "range").applyInArrow(lambda table: tidied(_sorted, table), _ANSWER)
 
     first = answered(blocks.groupBy("block").applyInArrow(lambda group, table: tidied(first_round, group, table), _RUN))
     second = answered(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda group, table, answers: tidied(second_round, group, table, answers), _RUN))
 
     def remove(group, table, answers):
-        block, (starts, own, names, distinct, least) = strings_left(table, answers)
-        earlier = _flags(answers, WHOLES)
-        matched = np.zeros(len(block.data), np.uint8)
-        if len(starts):
-            place = np.searchsorted(distinct, names)
-            matched[starts[earlier[place] | (least[place] < block.ids[own])]] = 1
-        sums = np.cumsum(matched, dtype=np.int32)
-        covered = sums > 0
-        covered[THRESHOLD:] = sums[THRESHOLD:] > sums[:-THRESHOLD]
+        block = strings_left(table, answers)
+        covered = block.removed(_flags(answers, STRINGS))
         rows, a = [], 0
         for i, b in enumerate(block.ends.tolist()):
             gone = covered[a:b]

@@ -194,7 +194,8 @@ def test_removal_equals_a_plain_version(docs, none, texts, monkeypatch, small_bl
         monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1500)
         monkeypatch.setattr(suffix_dedup, "MAX_BLOCK_BYTES", 1500)
         monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2000)
-        monkeypatch.setattr(suffix_dedup, "QUANTILES", 10)
+        monkeypatch.setattr(suffix_dedup, "NAMES_A_RUN", 1)
+        monkeypatch.setattr(suffix_dedup, "LONGEST_RUN", 8)
     assert _removal(docs) == _plain_removal([(i * 3, (t or "").encode()) for i, t in enumerate(texts)])
     assert suffix_dedup.remove_repeats(none).count() == 0
 
@@ -206,6 +207,28 @@ def test_equal_and_null_ids_and_edges_of_the_threshold(spark):
     assert _removal(frame) == _plain_removal([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("letters", [2, 3, 26])
+def test_strings_of_contexts_are_found_exactly(letters):
+    rng = np.random.default_rng(letters)
+    base = rng.integers(97, 97 + letters, 400, dtype=np.uint8)
+    contexts, least = [], []
+    for _ in range(120):
+        a, n = int(rng.integers(0, 330)), int(rng.integers(50, 70))
+        c = base[a : a + n].copy()
+        if rng.random() < 0.4:
+            c[rng.integers(0, len(c))] ^= 1
+        contexts.append(c)
+        least.append(int(rng.integers(0, 9)))
+    strings = [[c[s : s + 50].tobytes() for s in range(len(c) - 49)] for c in contexts]
+    low = {}
+    for own, i in zip(strings, least, strict=True):
+        for x in own:
+            low[x] = min(low.get(x, i), i)
+    want = [low[x] < i for own, i in zip(strings, least, strict=True) for x in own]
+    got = suffix_dedup.in_smaller(np.concatenate(contexts), np.array([len(c) for c in contexts]), np.array(least))
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_carried_columns_and_text(docs, texts):
     out = suffix_dedup.remove_repeats(docs, carried=["lang", "score"]).select("doc_id", suffix_dedup.as_text(F.col("kept")).alias("text"), "carried.*").collect()
     assert {(r["doc_id"], r["lang"], r["score"]) for r in out} == {(i * 3, (None, "en", "de")[i % 3], 0.5) for i in range(len(texts))}
