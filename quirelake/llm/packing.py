@@ -243,28 +243,39 @@ def document_frequencies(rows: DataFrame, size: int, kind: type) -> np.ndarray:
 
 
 class ShardIndex:
-    """BM25 inverted index over the documents of one shard, with the weights of the whole corpus."""
+    """BM25 inverted index over the documents of one shard, with the weights of the whole corpus.
+
+    The lists of terms that at least an eighth of the documents hold are kept as rows of a dense table.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        place = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), sizes)
+        wide = np.uint64 if len(idf) * n >= 1 << 32 else np.uint32
+        place = np.concatenate(docs).astype(wide) * wide(n) + np.repeat(np.arange(n, dtype=wide), sizes)
         place, tf = np.unique(place, return_counts=True)
-        term, self.doc = np.divmod(place, n)
+        term, doc = np.divmod(place, wide(n))
+        self.doc = doc.astype(np.int32)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
-        self.terms, first = np.unique(term, return_index=True)
-        self.bounds = np.append(first, len(term))
-        row = np.repeat(np.arange(len(self.terms)), np.diff(self.bounds))
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.rows_of = np.split(row[by_doc], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
-        self.n = n
+        first = np.flatnonzero(np.diff(term.astype(np.int64), prepend=-1))
+        held = np.diff(first, append=len(term))
+        row = np.repeat(np.arange(len(first)), held)
+        by_doc = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
+        rows_of = np.split(row[by_doc], np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+        common = held >= max(8, n // 8)
+        dense = np.cumsum(common) - 1
+        self.dense = np.zeros((int(common.sum()), n), np.float32)
+        often = common[row]
+        self.dense[dense[row[often]], self.doc[often]] = self.weight[often]
+        self.common_of = [dense[r[common[r]]] for r in rows_of]
+        self.rare_of = [r[~common[r]] for r in rows_of]
+        self.first, self.held, self.n = first, held, n
 
     def scores(self, doc: int) -> np.ndarray:
-        rows = self.rows_of[doc]
-        a, b = self.bounds[rows], self.bounds[rows + 1]
-        sizes = b - a
-        at = np.arange(sizes.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        rows = self.rare_of[doc]
+        a, sizes = self.first[rows], self.held[rows]
+        at = np.arange(sizes.sum()) + np.repeat(a - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.doc[at], self.weight[at], minlength=self.n) + self.dense[self.common_of[doc]].sum(axis=0)
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
