@@ -22,7 +22,8 @@ Defined results: a text without a word is alone in its class and has no links; o
 fewer than ``WIDTH`` words is a single shingle; null text is empty text; rows that
 repeat are copies of each other; ids may repeat, and a row is told apart by its id and
 text; a null id comes after all others, so a class has it only if all its ids are null;
-an empty table gives an empty result; extra columns do not matter.
+a very long text is read whole in the task that holds it; an empty table gives an empty
+result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
 SMALL = 24
 BLOCK_ROWS = 512
+HOT = 1000
 REMEMBERED = 250_000
 _known: dict[str, bytes] = {}
 _word = re.compile(r"\w+").findall
@@ -246,9 +248,9 @@ def _joined(docs: DataFrame, key: str, text: str, width: int, threshold: float)
     """(doc_id, mark, first, n_links) of each row; ``first`` is the first row (void, doc_id, mark) of its connected class."""
     rows = written(signed(docs, key, text, width))
     row = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "mark")
-    copies = rows.where("k is not null").groupBy("k").agg(F.min(row).alias("first"), F.count("*").alias("copies"))
-    classes = rows.join(copies.select("k", F.col("first.mark").alias("mark")), ["k", "mark"]).select("k", "n", "sig").dropDuplicates(["k"])
-    classes = written(classes)
+    copies = written(rows.where("k is not null").groupBy("k").agg(F.min(row).alias("first"), F.count("*").alias("copies")))
+    # rows of a class have equal sizes and values: one of each partition is enough, before any shuffle
+    classes = written(rows.where("k is not null").groupBy("k").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     bands = F.array(*[F.xxhash64(F.substring("sig", i * ROWS * 4 + 1, ROWS * 4), F.lit(i)) for i in range(BANDS)])
     bands = classes.select("k", "n", F.explode(bands).alias("bucket"))
@@ -301,8 +303,21 @@ def _joined(docs: DataFrame, key: str, text: str, width: int, threshold: float)
     roots = components(found.select("a", "b"))
     least = roots.join(copies, F.col("node") == F.col("k")).groupBy("root").agg(F.min("first").alias("least"))
     named = roots.join(least, "root").join(links, F.col("node") == F.col("a"), "left").select("node", "least", "links")
-    named = copies.join(named, F.col("k") == F.col("node"), "left").select("k", F.coalesce("least", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "mark", "k").join(named, "k", "left").select("doc_id", "mark", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = copies.join(named, F.col("k") == F.col("node"), "left").select("k", F.coalesce("least", "first").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies")
+    return _with_class(rows.select("doc_id", "mark", "k"), named).select("doc_id", "mark", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _with_class(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` with what their class is named: copies of a large class are not shuffled to one task.
+
+    A class of over a ``HOT``-th of all rows is hot; there are fewer than ``HOT`` of them, which bounds their broadcast.
+    """
+    named = written(named)
+    most = named.agg(F.sum("copies")).head()[0] or 0
+    hot = named.where(F.col("copies") > most / HOT)
+    marked = rows.join(F.broadcast(hot.select("k", F.lit(True).alias("hot"))), "k", "left")
+    rest = marked.where("hot is null").drop("hot").join(named.where(F.col("copies") <= most / HOT), "k", "left")
+    return rest.unionByName(rows.join(F.broadcast(hot), "k"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
