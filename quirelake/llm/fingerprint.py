@@ -1,26 +1,26 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs at line ends; a line of over ``LONG_LINE`` code points
-is cut further after sentence ends. Each distinct paragraph has a 64-bit digest. A
-sketch of ``cells`` cells has three equal tables; a digest goes to one cell of each,
-which keeps a count, the xor of the digests and the xor of their checks. Two
+A text is cut into pieces at line ends and after sentence ends, whatever the length of a line;
+what is still longer than ``LONGEST`` code points is cut into runs of that length. Each
+distinct piece has a 64-bit digest. A sketch has three equal tables; a digest goes to one
+cell of each, which keeps a count, the xor of the digests and the xor of their checks. Two
 sketches of equal size subtract cell by cell, and peeling (take the cells that hold
 one digest, remove it from its other cells, table after table) recovers the digests in
 which the texts differ. If cells are left over, both texts are sketched again with
-three times the cells; beyond the last size the digests are compared as sets, which is
-exact too, so a likeness never depends on luck.
+three times the cells, until they have ``ENOUGH`` times as many as there are digests. Should
+even that not come apart, which takes digests that share all their cells, they are compared as sets.
 
-Likeness is the Jaccard index of the two sets of paragraphs, from 0 to 1.
+Likeness is the Jaccard index of the two sets of pieces, from 0 to 1.
 
 All of it is DataFrame functions: sketches are higher-order functions within a row,
 without a shuffle. ``with_next`` gives each row its neighbour in descending id order by
 one shuffle into ranges of ids; the first row of a range is also copied into the range
 above it, so no window spans the table and no range waits for another.
 
-Defined results: null text is empty text, whose only paragraph is the empty string;
+Defined results: null text is empty text, whose only piece is the empty string;
 rows with equal ids follow each other in order of a hash of the text; a null id sorts
-last; a single row is its own neighbour; an empty table gives an empty result; extra
-columns do not matter.
+last; a single row is its own neighbour; a very long text is one array of digests in its
+row; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,94 +30,96 @@ from pyspark.sql import functions as F
 
 from .common import empty_text
 
-SIZES = (48, 144)
-LONG_LINE = 600
+CELLS = 16  # of a table in the smallest sketch
+GROWTH, ENOUGH = 3, 4
+LONGEST = 400
 ROUNDS = 48
 ROWS_PER_RANGE = 2000
-MAX_RANGES = 2000
+MAX_RANGES = 10000
 CHECK_SALT = 77
+ENDS = r"\n|(?<=[.!?]) |(?<=[。！？])"
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, r"(?<=[.!?]) ")).otherwise(F.array(x)))
-    return F.array_distinct(F.transform(F.flatten(lines), lambda x: F.xxhash64(x)))
+    """Distinct 64-bit digests of a text's pieces."""
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x), F.lit(LONGEST)), lambda i: F.substring(x, i, F.lit(LONGEST)))
+    pieces = F.transform(F.split(text, ENDS), lambda x: F.when(F.length(x) > LONGEST, F.transform(runs(x), lambda y: F.xxhash64(y))).otherwise(F.array(F.xxhash64(x))))
+    return F.array_distinct(F.flatten(pieces))
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(CHECK_SALT)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _entry(key: Column, count: Column, size: int) -> Column:
+def _entry(key: Column, count: Column, size: Column) -> Column:
     """A digest with its check and its cell in each table of ``size`` cells."""
-    places = [F.pmod(F.xxhash64(key, F.lit(t)), F.lit(size)).cast("int").alias(f"p{t}") for t in range(3)]
+    places = [F.pmod(F.xxhash64(key, F.lit(t)), size).cast("int").alias(f"p{t}") for t in range(3)]
     return F.struct(key.alias("x"), count.cast("int").alias("n"), _check(key).alias("c"), *places)
 
 
-def _put(cell: Column, entries: Column, table: int, at: Column, sign: int) -> Column:
-    """``cell`` after the entries whose place in ``table`` is ``at`` are added or taken away."""
-    mine = F.filter(entries, lambda e: e[f"p{table}"] == at)
-    return F.aggregate(mine, cell, lambda c, e: F.struct((c["n"] + sign * e["n"]).alias("n"), c["x"].bitwiseXOR(e["x"]).alias("x"), c["c"].bitwiseXOR(e["c"]).alias("c")))
-
-
-def _zero() -> Column:
-    return F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, not at each place where the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _filled(places: Column, entries: Column, table: int) -> Column:
-    return F.transform(places, lambda i: _put(_zero(), entries, table, i, 1))
+def _minus(a: Column, b: Column) -> Column:
+    return F.struct((a["n"] - b["n"]).alias("n"), a["x"].bitwiseXOR(b["x"]).alias("x"), a["c"].bitwiseXOR(b["c"]).alias("c"))
 
 
-def _without(cells: Column, entries: Column, table: int) -> Column:
-    return F.transform(cells, lambda c, i: _put(c, entries, table, i, -1))
+def _filled(entries: Column, table: int, size: Column) -> Column:
+    """The cells of one table. Entries are dealt to groups of cells first, so none is looked at for each cell."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+    put = lambda c, e: F.struct((c["n"] + e["n"]).alias("n"), c["x"].bitwiseXOR(e["x"]).alias("x"), c["c"].bitwiseXOR(e["c"]).alias("c"))
+    width = F.ceil(F.sqrt(size)).cast("int")
 
+    def group(g: Column, w: Column) -> Column:
+        cells = F.sequence(g * w, F.least((g + 1) * w, size) - 1)
+        return _bound(F.filter(entries, lambda e: F.floor(e[f"p{table}"] / w) == g), lambda mine: F.transform(cells, lambda i: F.aggregate(F.filter(mine, lambda e: e[f"p{table}"] == i), zero, put)))
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once, not at each place where the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return _bound(width, lambda w: F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(size / w).cast("int") - 1), lambda g: group(g, w))))
 
 
-def sketch(digests: Column, cells: int) -> Column:
-    """A sketch: a struct of three tables, each an array of (n, x, c)."""
-    size = cells // 3
+def sketch(digests: Column, size: Column) -> Column:
+    """A sketch: a struct of three tables of ``size`` cells, each an array of (n, x, c)."""
     entries = F.transform(digests, lambda k: _entry(k, F.lit(1), size))
-    places = F.sequence(F.lit(0), F.lit(size - 1))
-    return _bound(entries, lambda e: F.struct(*[_filled(places, e, t).alias(f"t{t}") for t in range(3)]))
+    return _bound(entries, lambda e: F.struct(*[_filled(e, t, size).alias(f"t{t}") for t in range(3)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    cell = lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["x"].bitwiseXOR(y["x"]).alias("x"), x["c"].bitwiseXOR(y["c"]).alias("c"))
-    return _bound(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(*[F.zip_with(s["a"][f"t{t}"], s["b"][f"t{t}"], cell).alias(f"t{t}") for t in range(3)]))
+    return _bound(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(*[F.zip_with(s["a"][f"t{t}"], s["b"][f"t{t}"], _minus).alias(f"t{t}") for t in range(3)]))
 
 
-def peel(tables: Column, cells: int) -> Column:
+def peel(tables: Column, size: Column) -> Column:
     """The digests that two subtracted sketches differ in, or null if they don't come apart."""
-    size = cells // 3
     start = _bound(tables, lambda s: F.struct(*[s[f"t{i}"].alias(f"t{i}") for i in range(3)], F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("idle")))
 
     def step(state: Column, round_: Column) -> Column:
         at = round_ % 3
         turn = F.when(at == 0, state["t0"]).when(at == 1, state["t1"]).otherwise(state["t2"])
         single = F.filter(turn, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
-        made = _bound(
-            F.transform(single, lambda c: _entry(c["x"], c["n"], size)),
+        made = lambda taken: _bound(
+            F.transform(taken, lambda c: _entry(c["x"], c["n"], size)),
             lambda out: F.struct(
-                *[_without(state[f"t{t}"], out, t).alias(f"t{t}") for t in range(3)],
+                *[F.zip_with(state[f"t{t}"], _filled(out, t, size), _minus).alias(f"t{t}") for t in range(3)],
                 F.concat(state["found"], F.transform(out, lambda e: e["x"])).alias("found"),
                 F.lit(0).alias("idle"),
             ),
         )
         none = F.struct(*[state[x].alias(x) for x in ("t0", "t1", "t2", "found")], (state["idle"] + 1).alias("idle"))
-        return F.when(state["idle"] >= 3, state).when(F.size(single) == 0, none).otherwise(made)
+        return F.when(state["idle"] >= 3, state).otherwise(_bound(single, lambda taken: F.when(F.size(taken) == 0, none).otherwise(made(taken))))
 
     empty = lambda t: F.forall(t, lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s["t0"]) & empty(s["t1"]) & empty(s["t2"]), s["found"]))
 
 
-def differing(a: Column, b: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """Number of digests in only one of two arrays: sketches of growing sizes, then the sets themselves."""
-    attempts = [F.array_size(peel(subtract(sketch(a, m), sketch(b, m)), m)) for m in sizes]
-    return F.coalesce(*attempts, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+def differing(a: Column, b: Column) -> Column:
+    """Number of digests in only one of two arrays, by sketches of growing sizes."""
+    cells = ENOUGH * (F.size(a) + F.size(b))
+    tries = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), F.greatest(cells, F.lit(1)) / (3 * CELLS))).cast("int")))
+    size = lambda i: (F.lit(CELLS) * F.pow(F.lit(float(GROWTH)), i)).cast("int")
+    attempt = lambda n: F.array_size(peel(subtract(sketch(a, n), sketch(b, n)), n))
+    found = F.aggregate(tries, F.lit(None).cast("int"), lambda d, i: F.when(d.isNotNull(), d).otherwise(_bound(size(i), attempt)))
+    return F.coalesce(found, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,10 +128,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(_bound(differing(a, b), lambda d: (all_ - d) / (all_ + d)))
 
 
-def fingerprint(digests: Column, cells: int = SIZES[0]) -> Column:
-    """A sketch as text: number of paragraphs, then the cells."""
+def fingerprint(digests: Column, size: int = CELLS) -> Column:
+    """A sketch as text: number of pieces, then the cells."""
     cell = lambda c: F.concat_ws(",", c["n"].cast("string"), F.lower(F.hex(c["x"])), F.lower(F.hex(c["c"])))
-    shown = _bound(sketch(digests, cells), lambda s: F.concat_ws("|", *[F.concat_ws(";", F.transform(s[f"t{t}"], cell)) for t in range(3)]))
+    shown = _bound(sketch(digests, F.lit(size)), lambda s: F.concat_ws("|", *[F.concat_ws(";", F.transform(s[f"t{t}"], cell)) for t in range(3)]))
     return F.concat_ws("|", F.size(digests).cast("string"), shown)
 
 
