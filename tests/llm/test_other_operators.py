@@ -32,6 +32,22 @@ def test_search_equals_brute_force(spark):
     assert hits >= 0.9 * 20 * 20
 
 
+def test_recall_when_few_are_reranked(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BASE_BLOCK", 1500)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.6 * rng.normal(size=(3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 60 = 0"), depth=60).toPandas()  # of 1,500 in a block
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({*np.argsort(-s)[:20]} & {*own.vec_id})
+    assert hits >= 0.9 * 20 * 50
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0]), (40, None)], "vec_id long, embedding array<double>")
+    assert ann.search(table, odd).count() == 0
+
+
 def test_search_of_few_and_of_none(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = ann.search(table, table.where("vec_id = 0")).orderBy("rank").collect()

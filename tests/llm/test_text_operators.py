@@ -206,7 +206,8 @@ def test_edits_equal_a_plain_version(docs, none, texts):
     rows = {r["doc_id"]: r for r in fingerprint.compare_edits(docs).collect()}
 
     def cut(t):
-        return {p for line in t.split("\n") for p in (re.split(r"(?<=[.!?]) ", line) if len(line) > 600 else [line])}
+        pieces = re.split(r"\n|(?<=[.!?]) |(?<=[。！？])", t)
+        return {run for p in pieces for run in ([p[i : i + 400] for i in range(0, len(p), 400)] or [""])}
 
     whole = [t or "" for t in texts][::-1]
     for k, t in enumerate(whole):
@@ -230,10 +231,26 @@ def test_next_crosses_ranges_and_repeated_ids(spark, monkeypatch):
     assert sorted(r["next_text"] for r in out if r["k"] == 10) == ["t10", "t8"]
 
 
+@pytest.mark.parametrize("n", [1, 40, 200, 2000])
+def test_sketches_grow_until_they_peel(spark, monkeypatch, n):
+    monkeypatch.setattr(F, "array_except", lambda a, b: F.transform(a, lambda x: F.raise_error(F.lit("compared as sets"))))
+    a, b = [i * 7919 for i in range(n)], [-1 - i * 104729 for i in range(n)]
+    assert spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(fingerprint.differing(F.col("a"), F.col("b")).alias("d")).first()["d"] == 2 * n
+
+
+def test_a_line_is_cut_by_one_rule_at_every_length(spark):
+    for n in (399, 400, 401, 1200, 1201):
+        one = "".join(chr(97 + i * 7 % 26) for i in range(n))
+        row = spark.createDataFrame([(one, one + "x", "ab. " + one)], "a string, b string, c string").select(*[fingerprint.likeness(fingerprint.paragraphs(F.col("a")), fingerprint.paragraphs(F.col(c))).alias(c) for c in "bc"]).first()
+        k = -(-n // 400)
+        assert row["c"] == pytest.approx(k / (k + 1)) and row["b"] == pytest.approx((n // 400) / (k + 1))
+
+
 @pytest.mark.parametrize("n", [0, 1, 10, 30, 200])
 def test_peeling_recovers_the_difference(spark, n):
     a, b = list(range(100)), list(range(n // 2, 100 + n - n // 2))
-    row = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(fingerprint.differing(F.col("a"), F.col("b")).alias("d"), fingerprint.peel(fingerprint.subtract(fingerprint.sketch(F.col("a"), 144), fingerprint.sketch(F.col("b"), 144)), 144).alias("k")).first()
+    x, y, size = F.col("a"), F.col("b"), F.lit(48)
+    row = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>").select(fingerprint.differing(x, y).alias("d"), fingerprint.peel(fingerprint.subtract(fingerprint.sketch(x, size), fingerprint.sketch(y, size)), size).alias("k")).first()
     assert row["d"] == len(set(a) ^ set(b)) and (n == 200 or sorted(row["k"]) == sorted(set(a) ^ set(b)))
 
 
