@@ -96,3 +96,58 @@ def parse_reference(text: Column) -> Column:
 def joined_contents(streams: Column) -> Column:
     """Ordered streams as one, with a line feed after each that lacks one, but the last."""
     return F.aggregate(streams, F.lit(""), lambda acc, s: F.when(acc == "", s).when(acc.endswith("\n"), F.concat(acc, s)).otherwise(F.concat(acc, F.lit("\n"), s)))
+
+
+def permission_word(allowed_names: dict[str, Column]) -> Column:
+    """The permission word that allows what is true; bits that mean nothing are set, the first two are not."""
+    word = F.lit(-4 & ~sum(PERMISSIONS.values()))
+    for name, is_allowed in allowed_names.items():
+        word = word + F.when(is_allowed, PERMISSIONS[name]).otherwise(0)
+    return word
+
+
+def decode_text(data: Column) -> Column:
+    """Text of a string with a UTF-16 byte order mark, else of Latin-1 bytes."""
+    tail = F.substring(data, 3, 1 << 30)
+    mark = F.hex(F.substring(data, 1, 2))
+    return F.when(mark == "FEFF", F.decode(tail, "UTF-16BE")).when(mark == "FFFE", F.decode(tail, "UTF-16LE")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+def encode_text(text: Column) -> Column:
+    """Latin-1 bytes where the text has no other characters, else UTF-16 with its mark."""
+    return F.when(text.rlike(r"^[\x09\x0a\x0d\x20-\x7e\u00a1-\u00ff]*$"), F.encode(text, "ISO-8859-1")).otherwise(utf16_bytes(text))
+
+
+def default_appearance(text: Column) -> Column:
+    """Struct (font, size, colour operands) of the last font and colour set in an appearance string."""
+    font = F.element_at(F.regexp_extract_all(text, F.lit(r"/(\S+)\s+[-\d.]+\s+Tf"), F.lit(1)), -1)
+    size = F.element_at(F.regexp_extract_all(text, F.lit(r"/\S+\s+([-\d.]+)\s+Tf"), F.lit(1)), -1)
+    colour = F.element_at(F.regexp_extract_all(text, F.lit(r"((?:[\d.]+\s+){1,4})(?:g|rg|k)(?:\s|$)"), F.lit(1)), -1)
+    return F.struct(font.alias("font"), size.cast("double").alias("size"), F.trim(colour).alias("colour"))
+
+
+def parse_rotation(text: Column) -> Column:
+    """Struct (add, degrees, pages) of ``[+|-]angle[:range]``; null if it is none."""
+    pattern = r"^([+-]?)(\d+)(?::(.*))?$"
+    sign = F.regexp_extract(text, pattern, 1)
+    degrees = F.regexp_extract(text, pattern, 2).cast("long")
+    pages = F.regexp_extract(text, pattern, 3)
+    return F.when(text.rlike(pattern), F.struct((sign != "").alias("add"), F.when(sign == "-", -degrees).otherwise(degrees).alias("degrees"), F.when(pages == "", "1-z").otherwise(pages).alias("pages")))
+
+
+def parse_selector(text: Column) -> Column:
+    """Struct (kind, num, gen) of ``trailer``, ``N`` , ``N,G`` or ``obj:N G R``; null if it is none."""
+    pattern = r"^(?:obj:)?(\d{1,9})(?:[, ](\d{1,5}))?(?: R)?$"
+    gen = F.regexp_extract(text, pattern, 2)
+    return F.when(text == "trailer", F.struct(F.lit("trailer").alias("kind"), F.lit(None).cast("long").alias("num"), F.lit(None).cast("int").alias("gen"))).when(
+        text.rlike(pattern), F.struct(F.lit("object").alias("kind"), F.regexp_extract(text, pattern, 1).cast("long").alias("num"), F.when(gen == "", "0").otherwise(gen).cast("int").alias("gen"))
+    )
+
+
+def placement_matrix(box: list[Column], rect: list[Column]) -> list[Column]:
+    """The matrix that fits a box into a rectangle, centred, at the largest scale that keeps its shape."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    scale = F.least((rect[2] - rect[0]) / w, (rect[3] - rect[1]) / h)
+    x = (rect[0] + rect[2]) / 2 - scale * (box[0] + box[2]) / 2
+    y = (rect[1] + rect[3]) / 2 - scale * (box[1] + box[3]) / 2
+    return [scale, F.lit(0.0), F.lit(0.0), scale, x, y]

@@ -61,14 +61,32 @@ def closure(seeds: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -
 
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes that any seed reaches, as one set."""
+    """The nodes that any seed reaches, as one set. Frontiers are appended; only every fifth round rewrites what is seen."""
     one = cut(seeds.select(F.col("seed").alias("node")).distinct())
-    frontier = one
+    frontier, depth = one, 0
     while True:
+        depth += 1
         found = cut(frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(one, "node", "left_anti"))
         if found.isEmpty():
             return one
-        one, frontier = cut(one.unionAll(found)), found
+        one, frontier = one.unionAll(found), found
+        if depth % 5 == 0:
+            one = cut(one)
+
+
+def follow(refs: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
+    """(start, target, hops): where each ``start`` leads along links (src, dst), at most ``most`` of them; a cycle ends there too."""
+    rows = cut(refs.select("start", F.col("start").alias("target"), F.lit(0).cast("long").alias("hops")))
+    step = links.select(F.col("src").alias("target"), "dst")
+    out = None
+    for _ in range(most):
+        rows = cut(rows.join(step, "target", "left"))
+        ended = rows.where("dst is null").drop("dst")
+        out = ended if out is None else out.unionByName(ended)
+        rows = rows.where("dst is not null").select("start", F.col("dst").alias("target"), (F.col("hops") + 1).alias("hops"))
+        if rows.isEmpty():
+            return out
+    return rows if out is None else out.unionByName(rows)
 
 
 def users(reached: DataFrame) -> DataFrame:
@@ -85,3 +103,34 @@ def remap_first(refs: DataFrame, mapping: DataFrame, old: str, position: str, ne
     """Each reference with the new number of the first place its target went to, null if it was removed."""
     first = mapping.groupBy(old).agg(F.min_by(new, position).alias(new))
     return refs.join(first, old, "left")
+
+
+def copy_objects(edges: DataFrame, chosen: DataFrame, numbers: int = 1000) -> DataFrame:
+    """References within a copy of the nodes in ``chosen``: src, dst and their new numbers, dense from 1; null for what is not copied.
+
+    Numbers are dealt by ranges of nodes: a range's first number is the count of all ranges below, of which there are at most ``numbers``.
+    """
+    new = number_densely(chosen.select("node").distinct(), "node", numbers)
+    rows = edges.join(new.select(F.col("node").alias("src"), F.col("number").alias("new_src")), "src")
+    return rows.join(new.select(F.col("node").alias("dst"), F.col("number").alias("new_dst")), "dst", "left").select("src", "dst", "new_src", "new_dst")
+
+
+def number_densely(rows: DataFrame, key: str, ranges: int = 1000) -> DataFrame:
+    """``rows`` with ``number``, 1, 2 ... in order of a numeric ``key``, without one window over the table."""
+    cuts = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).head()[0] or []
+    cuts = F.lit(sorted(set(cuts))).cast("array<bigint>")
+    rows = rows.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(key))))
+    sizes = rows.groupBy("_range").count()
+    before = sizes.withColumn("_before", F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))  # at most ``ranges`` rows
+    rows = rows.join(F.broadcast(before.select("_range", F.coalesce("_before", F.lit(0)).alias("_before"))), "_range")
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("_range").orderBy(key)) + F.col("_before")).drop("_range", "_before")
+
+
+def survivors(refs: DataFrame, kept: DataFrame, ref: str, new: str) -> DataFrame:
+    """The rule for page references of structure elements, beads and annotations: remapped where the page stays, dropped (null) where it went."""
+    return refs.join(kept.select(F.col("old").alias(ref), F.col("new").alias(new)), ref, "left")
+
+
+def fold_members(users: DataFrame, containers: DataFrame) -> DataFrame:
+    """(node, user) with members of an object stream (node, container) replaced by their container, once each."""
+    return users.join(containers, "node", "left").select(F.coalesce("container", "node").alias("node"), "user").distinct()

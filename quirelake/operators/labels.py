@@ -52,3 +52,30 @@ def merge_adjacent(ranges: DataFrame, doc: str) -> DataFrame:
     before = {c: F.lag(c).over(w) for c in ("start_idx", "style", "prefix", "start")}
     goes_on = before["style"].eqNullSafe(F.col("style")) & before["prefix"].eqNullSafe(F.col("prefix")) & (F.col("start") - before["start"] == F.col("start_idx") - before["start_idx"])
     return ranges.withColumn("_on", F.coalesce(goes_on, F.lit(False))).where("not _on").drop("_on")
+
+
+def effective(pages: DataFrame, ranges: DataFrame, doc: str) -> DataFrame:
+    """Each page (doc, page from 0) with ``label``: of the range at or below it, else its number from 1."""
+    keys = ranges.select(doc, F.col("start_idx").alias("page"), F.struct("start_idx", "style", "prefix", "start").alias("range"))
+    rows = at_or_below(pages, keys, doc, "page", "range")
+    r = F.col("found_value")
+    text = F.when(r.isNull(), (F.col("page") + 1).cast("string")).otherwise(render(r["style"], r["prefix"], F.coalesce(r["start"], F.lit(1)) + F.col("page") - r["start_idx"]))
+    return rows.withColumn("label", text).drop("found_key", "found_value")
+
+
+def for_span(spans: DataFrame, ranges: DataFrame, doc: str) -> DataFrame:
+    """Label ranges of a span (doc, first, last, new_first) of pages: moved to ``new_first``, the first one as it stands at the span's start.
+
+    A span in no range starts with decimal numbers of the pages.
+    """
+    opening = at_or_below(spans.withColumn("page", F.col("first")), ranges.select(doc, F.col("start_idx").alias("page"), F.struct("start_idx", "style", "prefix", "start").alias("range")), doc, "page", "range")
+    r = F.col("found_value")
+    head = opening.select(doc, F.col("new_first").alias("start_idx"), F.when(r.isNull(), "D").otherwise(r["style"]).alias("style"), r["prefix"].alias("prefix"), F.when(r.isNull(), F.col("first") + 1).otherwise(r["start"] + F.col("first") - r["start_idx"]).alias("start"))
+    inner = ranges.join(spans, doc).where((F.col("start_idx") > F.col("first")) & (F.col("start_idx") <= F.col("last")))
+    return head.unionByName(inner.select(doc, (F.col("start_idx") - F.col("first") + F.col("new_first")).alias("start_idx"), "style", "prefix", "start"))
+
+
+def neighbours(keys: DataFrame, by: str, on: str) -> DataFrame:
+    """Keys of a tree with the one before and after each, null at the ends."""
+    w = Window.partitionBy(by).orderBy(on)
+    return keys.withColumn("previous", F.lag(on).over(w)).withColumn("next", F.lead(on).over(w))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 
 def register(entries: DataFrame, keys: list[str], section: str, first_wins: bool = True) -> DataFrame:
-    """One entry for each key: of the first section (chain of updates) or the last (reconstruction)."""
-    order = F.col(section).asc() if first_wins else F.col(section).desc()
-    return entries.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
+    """One entry for each key: of the first section (chain of updates) or the last (reconstruction); ties by the other columns."""
+    rest = [c for c in entries.columns if c not in keys]
+    best = (F.min if first_wins else F.max)(F.struct(section, *[c for c in rest if c != section]))
+    return entries.groupBy(*keys).agg(best.alias("_best")).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
 def suppress_freed(entries: DataFrame, freed: DataFrame, key: str, section: str) -> DataFrame:
@@ -24,8 +25,11 @@ def duplicate_keys(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def compare(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows of only one side, repeats counted: side is ``actual`` or ``expected``."""
-    return actual.exceptAll(expected).withColumn("side", F.lit("actual")).unionByName(expected.exceptAll(actual).withColumn("side", F.lit("expected")))
+    """Rows of only one side, repeats counted: side is ``actual`` or ``expected``. One grouped sum of +1 and -1."""
+    both = actual.withColumn("_n", F.lit(1)).unionByName(expected.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*actual.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    left = left.withColumn("side", F.when(F.col("_n") > 0, "actual").otherwise("expected"))
+    return left.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))).drop("_n", "_k")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +37,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without those whose keys are in ``gone``."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def visible(entries: DataFrame, objects: DataFrame, ref: str, key: str) -> DataFrame:
+    """Dictionary entries without those whose value resolves to null; a direct value (no reference) stays."""
+    found = objects.where(F.col("value").isNotNull()).select(F.col(key).alias(ref))
+    return entries.where(F.col(ref).isNull()).unionByName(entries.where(F.col(ref).isNotNull()).join(found, ref, "left_semi").select(entries.columns))
+
+
 def unique_names(names: DataFrame, doc: str, order: str, name: str) -> DataFrame:
     """``names`` with ``unique_name``: name, name+1, name+2 ... in order, each free of all names before it.
 
