@@ -6,8 +6,9 @@ distinct piece has a 64-bit digest. A sketch has three equal tables; a digest go
 cell of each, which keeps a count, the xor of the digests and the xor of their checks. Two
 sketches of equal size subtract cell by cell, and peeling (take the cells that hold
 one digest, remove it from its other cells, table after table) recovers the digests in
-which the texts differ. If cells are left over, both texts are sketched again with
-three times the cells, until they have ``ENOUGH`` times as many as there are digests. Should
+which the texts differ. The first sketch of a pair has about the cells that the difference
+of their smallest digests suggests. If cells are left over, both texts are sketched again
+with three times as many, until they have ``ENOUGH`` times as many as there are digests. Should
 even that not come apart, which takes digests that share all their cells, they are compared as sets.
 
 Likeness is the Jaccard index of the two sets of pieces, from 0 to 1.
@@ -32,8 +33,9 @@ from .common import empty_text
 
 CELLS = 16  # of a table in the smallest sketch
 GROWTH, ENOUGH = 3, 4
+SMALLEST, SPARE = 16, 2.0  # digests that a guess looks at; cells for each digest that differs
 LONGEST = 400
-ROUNDS = 48
+ROUNDS = 12
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 10000
 CHECK_SALT = 77
@@ -41,10 +43,10 @@ ENDS = r"\n|(?<=[.!?]) |(?<=[。！？])"
 
 
 def paragraphs(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's pieces."""
+    """Distinct 64-bit digests of a text's pieces, sorted."""
     runs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x), F.lit(LONGEST)), lambda i: F.substring(x, i, F.lit(LONGEST)))
     pieces = F.transform(F.split(text, ENDS), lambda x: F.when(F.length(x) > LONGEST, F.transform(runs(x), lambda y: F.xxhash64(y))).otherwise(F.array(F.xxhash64(x))))
-    return F.array_distinct(F.flatten(pieces))
+    return F.sort_array(F.array_distinct(F.flatten(pieces)))
 
 
 def _check(key: Column) -> Column:
@@ -91,35 +93,48 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(tables: Column, size: Column) -> Column:
     """The digests that two subtracted sketches differ in, or null if they don't come apart."""
-    start = _bound(tables, lambda s: F.struct(*[s[f"t{i}"].alias(f"t{i}") for i in range(3)], F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("idle")))
+    start = _bound(tables, lambda s: F.struct(*[s[f"t{i}"].alias(f"t{i}") for i in range(3)], F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("over")))
 
-    def step(state: Column, round_: Column) -> Column:
-        at = round_ % 3
-        turn = F.when(at == 0, state["t0"]).when(at == 1, state["t1"]).otherwise(state["t2"])
-        single = F.filter(turn, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
+    def step(state: Column, _: Column) -> Column:
+        # the cells that hold one digest, of all tables; a digest may be alone in several
+        single = F.filter(F.concat(*[state[f"t{t}"] for t in range(3)]), lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
+        keys = lambda cells, n: F.transform(F.array_distinct(F.transform(F.filter(cells, lambda c: c["n"] == n), lambda c: c["x"])), lambda x: _entry(x, F.lit(n), size))
         made = lambda taken: _bound(
-            F.transform(taken, lambda c: _entry(c["x"], c["n"], size)),
+            F.concat(keys(taken, 1), keys(taken, -1)),
             lambda out: F.struct(
                 *[F.zip_with(state[f"t{t}"], _filled(out, t, size), _minus).alias(f"t{t}") for t in range(3)],
                 F.concat(state["found"], F.transform(out, lambda e: e["x"])).alias("found"),
-                F.lit(0).alias("idle"),
+                F.lit(False).alias("over"),
             ),
         )
-        none = F.struct(*[state[x].alias(x) for x in ("t0", "t1", "t2", "found")], (state["idle"] + 1).alias("idle"))
-        return F.when(state["idle"] >= 3, state).otherwise(_bound(single, lambda taken: F.when(F.size(taken) == 0, none).otherwise(made(taken))))
+        none = F.struct(*[state[x].alias(x) for x in ("t0", "t1", "t2", "found")], F.lit(True).alias("over"))
+        return F.when(state["over"], state).otherwise(_bound(single, lambda taken: F.when(F.size(taken) == 0, none).otherwise(made(taken))))
 
     empty = lambda t: F.forall(t, lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s["t0"]) & empty(s["t1"]) & empty(s["t2"]), s["found"]))
 
 
+def expected_difference(a: Column, b: Column) -> Column:
+    """About how many digests are in only one of two sorted arrays, from how many of their smallest are shared."""
+    k = F.least(F.lit(SMALLEST), F.size(a), F.size(b))
+    both = F.size(F.array_intersect(F.slice(a, F.lit(1), k), F.slice(b, F.lit(1), k)))
+    shared = F.when(k == 0, F.lit(0.0)).otherwise(both / (2 * k - both))
+    all_ = F.size(a) + F.size(b)
+    return F.greatest(all_ * (1 - shared) / (1 + shared), F.abs(F.size(a) - F.size(b)))
+
+
 def differing(a: Column, b: Column) -> Column:
-    """Number of digests in only one of two arrays, by sketches of growing sizes."""
-    cells = ENOUGH * (F.size(a) + F.size(b))
-    tries = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), F.greatest(cells, F.lit(1)) / (3 * CELLS))).cast("int")))
-    size = lambda i: (F.lit(CELLS) * F.pow(F.lit(float(GROWTH)), i)).cast("int")
-    attempt = lambda n: F.array_size(peel(subtract(sketch(a, n), sketch(b, n)), n))
-    found = F.aggregate(tries, F.lit(None).cast("int"), lambda d, i: F.when(d.isNotNull(), d).otherwise(_bound(size(i), attempt)))
-    return F.coalesce(found, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    """Number of digests in only one of two sorted arrays, by sketches of growing sizes from about the expected one."""
+    cells = F.greatest(F.lit(ENOUGH) * (F.size(a) + F.size(b)), F.lit(1))
+    start = F.greatest(F.lit(CELLS), F.ceil(expected_difference(a, b) * SPARE / 3)).cast("int")
+
+    def grown(start: Column) -> Column:
+        tries = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log(float(GROWTH), cells / (3 * start))).cast("int")))
+        size = lambda i: (start * F.pow(F.lit(float(GROWTH)), i)).cast("int")
+        attempt = lambda n: F.array_size(peel(subtract(sketch(a, n), sketch(b, n)), n))
+        return F.aggregate(tries, F.lit(None).cast("int"), lambda d, i: F.when(d.isNotNull(), d).otherwise(_bound(size(i), attempt)))
+
+    return F.coalesce(_bound(start, grown), F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
 def likeness(a: Column, b: Column) -> Column:
