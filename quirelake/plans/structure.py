@@ -21,7 +21,7 @@ UNION ALL SELECT f.doc, f.id, w.depth + 1, w.path || '.' || lpad(f.ordinal::VARC
 CASE WHEN f.name IS NULL THEN w.full_name WHEN w.full_name = '' THEN f.name ELSE w.full_name || '.' || f.name END FROM f JOIN w ON f.doc = w.doc AND f.parent = w.id),
 i AS (SELECT doc, id, type AS ft, full_name, flags, value, CASE type WHEN 'Tx' THEN 'text' WHEN 'Btn' THEN CASE WHEN flags & 65536 > 0 THEN 'pushbutton' WHEN flags & 32768 > 0 THEN 'radio' ELSE 'checkbox' END
 WHEN 'Ch' THEN CASE WHEN flags & 131072 > 0 THEN 'combo' ELSE 'list' END WHEN 'Sig' THEN 'signature' END AS kind FROM w JOIN f USING (doc, id))"""
-WIDGETS = "g AS (SELECT c_custkey AS widget, c_nationkey::BIGINT AS page, ['web', 'news', 'books', 'code'][(c_custkey % 4 + 1)::INT] AS doc, c_custkey % 90 AS field FROM customer)"
+WIDGETS = "g AS (SELECT c_custkey AS widget, c_nationkey::BIGINT AS page, 'src' || c_custkey % 20 AS doc, c_custkey % 71 AS field FROM customer)"
 
 
 def _items(spark, sf_dir):
@@ -36,8 +36,8 @@ def _items(spark, sf_dir):
 
 def _widgets(spark, sf_dir):
     k = F.col("c_custkey")
-    doc = F.element_at(F.array(*[F.lit(x) for x in ("web", "news", "books", "code")]), (k % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "customer").select(k.alias("widget"), F.col("c_nationkey").cast("long").alias("page"), doc.alias("doc"), (k % 90).alias("field"))
+    doc = F.concat(F.lit("src"), k % 20)
+    return read(spark, sf_dir, "customer").select(k.alias("widget"), F.col("c_nationkey").cast("long").alias("page"), doc.alias("doc"), (k % 71).alias("field"))
 
 
 # forms
