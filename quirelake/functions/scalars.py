@@ -151,3 +151,35 @@ def placement_matrix(box: list[Column], rect: list[Column]) -> list[Column]:
     x = (rect[0] + rect[2]) / 2 - scale * (box[0] + box[2]) / 2
     y = (rect[1] + rect[3]) / 2 - scale * (box[1] + box[3]) / 2
     return [scale, F.lit(0.0), F.lit(0.0), scale, x, y]
+
+
+#: The decode level from which each filter is undone.
+DECODED_FROM = {"FlateDecode": 1, "LZWDecode": 1, "ASCII85Decode": 1, "ASCIIHexDecode": 1, "RunLengthDecode": 2, "DCTDecode": 3}
+LEVELS = ("none", "generalized", "specialized", "all")
+
+
+def decodable(name: Column) -> Column:
+    """Whether a filter can be undone; the name is taken as it stands, abbreviations are not expanded."""
+    return F.coalesce(name.isin(*DECODED_FROM), F.lit(False))
+
+
+def decoded_at(filters: Column, level: str) -> Column:
+    """Whether a chain of filters, an array of full names, is undone at a decode level; no filters need no decoding."""
+    known = F.create_map(*[F.lit(x) for pair in DECODED_FROM.items() for x in pair])
+    needed = F.transform(filters, lambda f: F.coalesce(F.try_element_at(known, f), F.lit(len(LEVELS))))
+    return F.forall(needed, lambda n: n <= LEVELS.index(level))
+
+
+def rotation_matrix(degrees: Column, llx: Column, lly: Column, urx: Column, ury: Column) -> list[Column]:
+    """The matrix that draws a page of this media box as a /Rotate of 90, 180 or 270 shows it; otherwise the identity."""
+    pick = lambda quarter, half, three, none: F.when(degrees == 90, quarter).when(degrees == 180, half).when(degrees == 270, three).otherwise(F.lit(none)).cast("double")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return [
+        pick(zero, -one, zero, 1.0), pick(-one, zero, one, 0.0), pick(one, zero, -one, 0.0), pick(zero, -one, zero, 1.0),
+        pick(zero, llx + urx, lly + ury, 0.0), pick(llx + urx, lly + ury, zero, 0.0),
+    ]
+
+
+def file_identifier(data: Column, mark: str, info: Column) -> Column:
+    """A repeatable identifier: MD5 of the hex MD5 of the bytes, a mark and the document information up to its first NUL."""
+    return F.md5(F.concat(F.md5(data), F.lit(mark), F.substring_index(info, "\0", 1)))

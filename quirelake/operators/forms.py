@@ -49,3 +49,25 @@ def signatures(infos: DataFrame) -> DataFrame:
 def annotations(rows: DataFrame, subtype: str | None = None) -> DataFrame:
     """Annotations (doc, page, annotation, subtype), of one subtype if it is given."""
     return rows if subtype is None else rows.where(F.col("subtype") == subtype)
+
+
+def strip_signatures(infos: DataFrame) -> DataFrame:
+    """Fields with the values of signatures taken away."""
+    return infos.withColumn("value", F.when(F.coalesce(F.col("kind") != "signature", F.lit(True)), F.col("value")))
+
+
+def rename(fields: DataFrame, names: DataFrame) -> DataFrame:
+    """Fields with the partial names of ``names`` (doc, id, new_name) in place of their own; a null new name takes the name away."""
+    rows = fields.join(names.withColumn("_new", F.lit(True)), ["doc", "id"], "left")
+    return rows.withColumn("name", F.when(F.col("_new"), F.col("new_name")).otherwise(F.col("name"))).drop("_new", "new_name")
+
+
+def text_width(texts: DataFrame, widths: DataFrame, keys: list[str], text: str, size: str) -> DataFrame:
+    """Width of each text in a font: the sum of its glyphs' widths (code, width in thousandths) times the size.
+
+    Codes are bytes of the text. There are at most 256 widths, so they are broadcast; a code without one has none.
+    """
+    codes = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.col(text).cast("binary")), "(..)", "$1,"), ","), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("int"))
+    rows = texts.select(*keys, size, F.explode_outer(codes).alias("code"))
+    few = F.broadcast(widths.select("code", "width").where("code between 0 and 255").groupBy("code").agg(F.max("width").alias("width")))
+    return rows.join(few, "code", "left").groupBy(*keys, size).agg(F.coalesce(F.sum("width"), F.lit(0)).alias("_w")).select(*keys, (F.col("_w") * F.col(size) / 1000).alias("width"))

@@ -134,3 +134,9 @@ def survivors(refs: DataFrame, kept: DataFrame, ref: str, new: str) -> DataFrame
 def fold_members(users: DataFrame, containers: DataFrame) -> DataFrame:
     """(node, user) with members of an object stream (node, container) replaced by their container, once each."""
     return users.join(containers, "node", "left").select(F.coalesce("container", "node").alias("node"), "user").distinct()
+
+
+def users_of_members(users: DataFrame, containers: DataFrame) -> DataFrame:
+    """How many different users the members of each container have together, the least and the largest of them."""
+    pairs = users.join(containers, "node").select("container", "user").distinct()
+    return pairs.groupBy("container").agg(F.count(F.lit(1)).alias("n_users"), F.min("user").alias("first_user"), F.max("user").alias("last_user"))

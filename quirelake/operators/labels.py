@@ -79,3 +79,13 @@ def neighbours(keys: DataFrame, by: str, on: str) -> DataFrame:
     """Keys of a tree with the one before and after each, null at the ends."""
     w = Window.partitionBy(by).orderBy(on)
     return keys.withColumn("previous", F.lag(on).over(w)).withColumn("next", F.lead(on).over(w))
+
+
+def key_bounds(keys: DataFrame, by: str, on: str) -> DataFrame:
+    """Number of keys, the smallest and the largest of each tree."""
+    return keys.groupBy(by).agg(F.count(F.lit(1)).alias("n_keys"), F.min(on).alias("smallest"), F.max(on).alias("largest"))
+
+
+def find(probes: DataFrame, keys: DataFrame, by: str, on: str, value: str) -> DataFrame:
+    """Each probe with ``found_value`` of the key equal to it, null if there is none; of equal keys the least value."""
+    return probes.join(keys.groupBy(by, on).agg(F.min(value).alias("found_value")), [by, on], "left")

@@ -124,3 +124,22 @@ def overlay_pairs(targets: DataFrame, sources: DataFrame, doc: str, from_pages:
     page = F.when(F.col("page") <= last, F.col("page")).when(again > 0, last + 1 + (F.col("page") - last - 1) % F.greatest(again, F.lit(1)))
     rows = rows.withColumn("_from", page).where("_from is not null").drop("_n")
     return rows.join(sources.select(doc, F.col("page").alias("_from"), *[F.col(c).alias(f"from_{c}") for c in sources.columns if c not in (doc, "page")]), [doc, "_from"]).withColumnRenamed("_from", "from_page")
+
+
+def order_overlays(entries: DataFrame, page: str, kind: str, order: str) -> DataFrame:
+    """Sources laid on each page with their ``place`` from 1: underlays first, then in the order given."""
+    w = Window.partitionBy(page).orderBy(F.when(F.col(kind) == "underlay", 0).otherwise(1), order)
+    return entries.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def rotate_pages(pages: DataFrame, doc: str, text: str, rotated: Column) -> DataFrame:
+    """``pages`` with ``rotate`` replaced by ``rotated`` where a range selects the page."""
+    chosen = select_pages(pages.select(doc, "page", "n"), doc, text).select(doc, "page").distinct().withColumn("_chosen", F.lit(True))
+    rows = pages.join(chosen, [doc, "page"], "left")
+    return rows.withColumn("rotate", F.when(F.col("_chosen"), rotated).otherwise(F.col("rotate"))).drop("_chosen")
+
+
+def duplicate_pages(pages: DataFrame, doc: str, times: Column) -> DataFrame:
+    """Each page ``times`` times, one after the other, with ``copy`` from 0 and ``out_pos`` in the document; not at all for 0."""
+    rows = pages.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))))
+    return rows.withColumn("out_pos", F.row_number().over(Window.partitionBy(doc).orderBy("page", "copy")).cast("long"))

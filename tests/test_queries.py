@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import scalars
 from quirelake.operators import graph, labels, positional, sets, trees
-from quirelake.plans import registry, structure  # noqa: F401
+from quirelake.plans import changes, registry, structure  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
