@@ -183,3 +183,20 @@ def rotation_matrix(degrees: Column, llx: Column, lly: Column, urx: Column, ury:
 def file_identifier(data: Column, mark: str, info: Column) -> Column:
     """A repeatable identifier: MD5 of the hex MD5 of the bytes, a mark and the document information up to its first NUL."""
     return F.md5(F.concat(F.md5(data), F.lit(mark), F.substring_index(info, "\0", 1)))
+
+
+def put(entries: Column, key: Column, value: Column) -> Column:
+    """A map with one entry set, or taken out if the value is null: null and a missing entry are the same."""
+    rest = F.map_filter(entries, lambda k, _: k != key)
+    return F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(key, value)))
+
+
+def in_key_order(entries: Column) -> Column:
+    """The entries of a map whose value is not null, as an array of (key, value) by key."""
+    return F.array_sort(F.map_entries(F.map_filter(entries, lambda _, v: v.isNotNull())))
+
+
+def cipher(version: Column, filter_method: Column) -> Column:
+    """Name of the cipher of an encryption dictionary: of its version, from 4 on of its crypt filter's method."""
+    named = F.when(filter_method == "V2", "RC4").when(filter_method == "AESV2", "AES-128").when(filter_method == "AESV3", "AES-256").when(filter_method == "None", "none")
+    return F.when(version.isin(1, 2, 3), "RC4").when(version.isin(4, 5), F.coalesce(named, F.lit("none")))

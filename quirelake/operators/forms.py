@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.functions.scalars import transform_rectangle
+
 from .trees import walk
 
+BOX = ("llx", "lly", "urx", "ury")
+
 #: Field flags (bit 15, 16 and 17, from 0).
 RADIO, PUSH_BUTTON, COMBO = 1 << 15, 1 << 16, 1 << 17
 
@@ -71,3 +75,10 @@ def text_width(texts: DataFrame, widths: DataFrame, keys: list[str], text: str,
     rows = texts.select(*keys, size, F.explode_outer(codes).alias("code"))
     few = F.broadcast(widths.select("code", "width").where("code between 0 and 255").groupBy("code").agg(F.max("width").alias("width")))
     return rows.join(few, "code", "left").groupBy(*keys, size).agg(F.coalesce(F.sum("width"), F.lit(0)).alias("_w")).select(*keys, (F.col("_w") * F.col(size) / 1000).alias("width"))
+
+
+def copy_annotations(annotations: DataFrame, pairs: DataFrame, matrix: list[Column]) -> DataFrame:
+    """Annotations (page, annotation, llx, lly, urx, ury) of each from_page in ``pairs`` on its to_page, their rectangles mapped."""
+    rows = annotations.join(pairs, F.col("page") == F.col("from_page"))
+    box = transform_rectangle(matrix, *[F.col(c) for c in BOX])
+    return rows.select(F.col("to_page").alias("page"), "annotation", *[c.alias(n) for c, n in zip(box, BOX)])

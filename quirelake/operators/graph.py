@@ -140,3 +140,21 @@ def users_of_members(users: DataFrame, containers: DataFrame) -> DataFrame:
     """How many different users the members of each container have together, the least and the largest of them."""
     pairs = users.join(containers, "node").select("container", "user").distinct()
     return pairs.groupBy("container").agg(F.count(F.lit(1)).alias("n_users"), F.min("user").alias("first_user"), F.max("user").alias("last_user"))
+
+
+def add_objects(objects: DataFrame, new: DataFrame, key: str, order: str, numbers: int = 1000) -> DataFrame:
+    """``new`` with ``key``: the numbers after the largest one of ``objects``, dense, in the given order."""
+    last = objects.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
+    return number_densely(new, order, numbers).join(F.broadcast(last)).withColumn(key, F.col("number") + F.col("_last")).drop("number", "_last")
+
+
+def compressible(objects: DataFrame) -> DataFrame:
+    """Objects (num, gen, kind) that may go into an object stream: generation 0 where no later one exists, no streams, signatures or encryption dictionaries."""
+    newest = objects.groupBy("num").agg(F.max("gen").alias("gen")).where("gen = 0")
+    return objects.join(newest, ["num", "gen"], "left_semi").where(~F.coalesce(F.col("kind").isin("stream", "signature", "encrypt"), F.lit(False)))
+
+
+def shares(refs: DataFrame, doc: str) -> DataFrame:
+    """For each document whether one of its references (doc, ref) occurs more than once; a direct value has a null reference."""
+    counts = refs.groupBy(doc, "ref").agg(F.count("ref").alias("n"))
+    return counts.groupBy(doc).agg((F.max("n") > 1).alias("shared"))

@@ -143,3 +143,9 @@ def duplicate_pages(pages: DataFrame, doc: str, times: Column) -> DataFrame:
     """Each page ``times`` times, one after the other, with ``copy`` from 0 and ``out_pos`` in the document; not at all for 0."""
     rows = pages.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))).otherwise(F.array().cast("array<bigint>"))))
     return rows.withColumn("out_pos", F.row_number().over(Window.partitionBy(doc).orderBy("page", "copy")).cast("long"))
+
+
+def remove_pages(pages: DataFrame, doc: str, text: str) -> DataFrame:
+    """The pages that a range does not select, with ``out_pos`` counted anew in the document."""
+    left = pages.join(select_pages(pages.select(doc, "page", "n"), doc, text).select(doc, "page").distinct(), [doc, "page"], "left_anti")
+    return left.withColumn("out_pos", F.row_number().over(Window.partitionBy(doc).orderBy("page")).cast("long"))

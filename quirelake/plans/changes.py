@@ -107,3 +107,58 @@ def fields_renamed(spark, sf_dir):
 def text_widths(spark, sf_dir):
     widths = spark.range(256).where("id % 5 > 0").select(F.col("id").cast("int").alias("code"), (F.col("id") + 250).alias("width"))
     return forms.text_width(read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(12).alias("size")), widths, ["c_custkey"], "c_name", "size")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 2 * l_quantity + 5 AS llx, 3 * l_linenumber::DOUBLE AS lly, 2 * (l_quantity + 10) + 5 AS urx, 3 * (l_linenumber + 4.0::DOUBLE) AS ury, l_suppkey + 100 AS page
+FROM lineitem WHERE l_suppkey % 3 = 0""")
+def annotations_copied(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    x, y = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    annotations = rows.select(F.col("l_suppkey").alias("page"), F.struct("l_orderkey", "l_linenumber").alias("annotation"), x.alias("llx"), y.alias("lly"), (x + 10).alias("urx"), (y + 4).alias("ury"))
+    pairs = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("from_page"), (F.col("s_suppkey") + 100).alias("to_page"))
+    copied = forms.copy_annotations(annotations, pairs, [F.lit(float(v)) for v in (2, 0, 0, 3, 5, 0)])
+    return copied.select("annotation.*", "llx", "lly", "urx", "ury", "page")
+
+
+# objects
+
+
+@query(f"WITH {PAGES} SELECT conv_id, page, row_number() OVER (PARTITION BY conv_id ORDER BY page) AS out_pos FROM p WHERE page <> 1 AND page <> n")
+def pages_removed(spark, sf_dir):
+    return positional.remove_pages(pages(spark, sf_dir).select("conv_id", "page", "n"), "conv_id", "1,z").select("conv_id", "page", "out_pos")
+
+
+@query("SELECT c_custkey, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) AS num FROM customer")
+def objects_added(spark, sf_dir):
+    return graph.add_objects(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("num")), read(spark, sf_dir, "customer").select("c_custkey"), "num", "c_custkey")
+
+
+KINDS = ("stream", "signature", "encrypt", "dictionary", "array", "string", "stream")
+
+
+@query("""WITH o AS (SELECT DISTINCT l_partkey AS num, (l_linenumber // 6)::BIGINT AS gen, ['stream', 'signature', 'encrypt', 'dictionary', 'array', 'string', 'stream'][(l_partkey % 7 + 1)::INT] AS kind FROM lineitem)
+SELECT num, gen, kind FROM o WHERE gen = 0 AND kind IN ('dictionary', 'array', 'string') AND NOT EXISTS (SELECT 1 FROM o x WHERE x.num = o.num AND x.gen > 0)""")
+def objects_compressible(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("num"), F.floor(F.col("l_linenumber") / 6).alias("gen"), kind.alias("kind")).distinct()
+    return graph.compressible(rows)
+
+
+@query("""SELECT doc, max(n) > 1 AS shared FROM (SELECT l_orderkey AS doc, ref, count(ref) AS n FROM (SELECT l_orderkey, CASE WHEN l_partkey % 4 > 0 THEN l_suppkey END AS ref FROM lineitem) GROUP BY 1, 2) GROUP BY 1""")
+def resources_shared(spark, sf_dir):
+    return graph.shares(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_suppkey")).alias("ref")), "doc")
+
+
+@query("""SELECT p_partkey, 'Brand=' || p_brand || CASE WHEN p_size % 3 > 0 THEN ';Size=' || CASE WHEN p_size % 3 = 1 THEN 'new' ELSE p_size::VARCHAR END ELSE '' END || ';Type=' || p_type AS entries FROM part""")
+def dictionary_changed(spark, sf_dir):
+    size = F.col("p_size")
+    entries = F.create_map(F.lit("Type"), F.col("p_type"), F.lit("Size"), size.cast("string"), F.lit("Brand"), F.col("p_brand"))
+    changed = S.put(entries, F.lit("Size"), F.when(size % 3 == 1, "new").when(size % 3 == 2, size.cast("string")))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(S.in_key_order(changed), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("entries"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 IN (1, 2, 3) THEN 'RC4' WHEN p_size % 7 IN (4, 5) THEN CASE p_partkey % 4 WHEN 0 THEN 'RC4' WHEN 1 THEN 'AES-128' WHEN 2 THEN 'AES-256' ELSE 'none' END END AS cipher FROM part""")
+def ciphers(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    method = F.when(k == 0, "V2").when(k == 1, "AESV2").when(k == 2, "AESV3")
+    return read(spark, sf_dir, "part").select("p_partkey", S.cipher(F.col("p_size") % 7, method).alias("cipher"))
