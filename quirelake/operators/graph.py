@@ -144,8 +144,8 @@ def users_of_members(users: DataFrame, containers: DataFrame) -> DataFrame:
 
 def add_objects(objects: DataFrame, new: DataFrame, key: str, order: str, numbers: int = 1000) -> DataFrame:
     """``new`` with ``key``: the numbers after the largest one of ``objects``, dense, in the given order."""
-    last = objects.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
-    return number_densely(new, order, numbers).join(F.broadcast(last)).withColumn(key, F.col("number") + F.col("_last")).drop("number", "_last")
+    last = objects.agg(F.coalesce(F.max(key), F.lit(0))).head()[0]
+    return number_densely(new, order, numbers).withColumn(key, F.col("number") + F.lit(last)).drop("number")
 
 
 def compressible(objects: DataFrame) -> DataFrame:

@@ -136,11 +136,11 @@ def objects_added(spark, sf_dir):
 KINDS = ("stream", "signature", "encrypt", "dictionary", "array", "string", "stream")
 
 
-@query("""WITH o AS (SELECT DISTINCT l_partkey AS num, (l_linenumber // 6)::BIGINT AS gen, ['stream', 'signature', 'encrypt', 'dictionary', 'array', 'string', 'stream'][(l_partkey % 7 + 1)::INT] AS kind FROM lineitem)
+@query("""WITH o AS (SELECT DISTINCT l_partkey AS num, CASE WHEN l_orderkey % 40 = 0 THEN 1 ELSE 0 END::BIGINT AS gen, ['stream', 'signature', 'encrypt', 'dictionary', 'array', 'string', 'stream'][(l_partkey % 7 + 1)::INT] AS kind FROM lineitem)
 SELECT num, gen, kind FROM o WHERE gen = 0 AND kind IN ('dictionary', 'array', 'string') AND NOT EXISTS (SELECT 1 FROM o x WHERE x.num = o.num AND x.gen > 0)""")
 def objects_compressible(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_partkey") % 7 + 1).cast("int"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("num"), F.floor(F.col("l_linenumber") / 6).alias("gen"), kind.alias("kind")).distinct()
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("num"), F.when(F.col("l_orderkey") % 40 == 0, 1).otherwise(0).cast("long").alias("gen"), kind.alias("kind")).distinct()
     return graph.compressible(rows)
 
 
