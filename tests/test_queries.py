@@ -113,3 +113,30 @@ def test_tree_with_a_cycle(spark):
 def test_upsert_and_freed(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert {tuple(r) for r in sets.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_nulls_empties_and_ties_of_changes(spark):
+    pages = spark.createDataFrame([("a", 1, 2, 90), ("a", 2, 2, None)], "doc string, page long, n long, rotate long")
+    rotated = positional.rotate_pages(pages, "doc", "1-z", F.lit(180).cast("long")).orderBy("page").collect()
+    assert [r["rotate"] for r in rotated] == [180, 180]
+    assert positional.rotate_pages(pages.where("false"), "doc", "1", F.lit(0).cast("long")).count() == 0
+    assert positional.duplicate_pages(pages, "doc", F.lit(0)).count() == 0
+    assert [(r["page"], r["out_pos"]) for r in positional.remove_pages(pages, "doc", "1").collect()] == [(2, 1)]
+    keys = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), ("a", None, "z")], "doc string, key long, value string")
+    found = labels.find(keys.select("doc", "key"), keys, "doc", "key", "value").collect()
+    assert sorted(str(r["found_value"]) for r in found) == ["None", "x", "x"]
+    new = graph.add_objects(keys.select("key").where("false"), spark.range(3), "key", "id")
+    assert sorted(r["key"] for r in new.collect()) == [1, 2, 3]
+    shared = spark.createDataFrame([("a", None), ("a", None), ("b", 1), ("b", 1)], "doc string, ref long")
+    assert {r["doc"]: r["shared"] for r in graph.shares(shared, "doc").collect()} == {"a": False, "b": True}
+
+
+def test_decode_levels_and_dictionaries_of_nulls(spark):
+    row = spark.range(1).select(
+        scalars.decodable(F.lit(None).cast("string")).alias("none"), scalars.decodable(F.lit("Fl")).alias("short"),
+        scalars.decoded_at(F.array().cast("array<string>"), "none").alias("plain"), scalars.decoded_at(F.array(F.lit("RunLengthDecode")), "generalized").alias("run"),
+        scalars.put(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)), F.lit("b"), F.lit(None).cast("int")).alias("out"),
+        scalars.in_key_order(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2), F.lit("c"), F.lit(None))).alias("order"),
+    ).first()
+    assert (row["none"], row["short"], row["plain"], row["run"], row["out"]) == (False, False, True, False, {"a": 2})
+    assert [tuple(e) for e in row["order"]] == [("a", 2), ("b", 1)]
